@@ -37,6 +37,9 @@ def stream64(n: int, seed: int) -> np.ndarray:
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything but ASCII letters, digits and bytes from 0x80.
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _CODES = stream64(256, 7)
 _LOWER_CODES = _CODES.copy()
 _LOWER_CODES[65:91] = _CODES[97:123]
@@ -87,16 +90,16 @@ def doc_groups(offsets: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[i
         lo = hi
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word in data, and each document's first word.
 
-    bounds: the documents' offsets in data, from 0 to len(data).
+    bounds: the documents' offsets in data, from 0 to len(data); apart: which bytes separate words.
     """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(bounds), np.int64)
-    space = _IS_SPACE[data]
+    space = apart[data]
     left, right = np.empty(n, bool), np.empty(n, bool)
     left[0], right[-1] = True, True
     left[1:], right[:-1] = space[:-1], space[1:]
