@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vellumix.llm import setsketch
-from vellumix.llm.components import components
-from vellumix.llm.scratch import Scratch
+from vellumix.llm.components import components, near_labels
+from vellumix.llm.scratch import Scratch, bounded
 from vellumix.llm.tokens import shingle_sets
 from vellumix.session import ship
 
@@ -35,6 +35,8 @@ BLOCK = 512
 #: A sketch of 60 registers errs by less than 0.05 in one of three cases; five times that is kept for the exact test.
 SLACK = 0.25
 _CELLS = 1 << 22
+#: Up to this many classes whose texts are wanted (a digest and a key, 40 bytes each) are broadcast to the scan; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def digest_of(shingles: np.ndarray) -> bytes:
@@ -198,7 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     pairs = _likely_pairs(classes, members, num, den, scratch)
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(members.where("n > 2").select("digest")).distinct()
     wanted = scratch.put(wanted.join(classes.select("digest", "place"), "digest"), "wanted")
-    texts = placed(docs).join(wanted, "place").select("digest", "text").mapInArrow(_true_texts(width), "digest binary, text string")
+    few = F.broadcast(wanted) if bounded(wanted, BROADCAST_ROWS) else wanted
+    texts = placed(docs).join(few, "place").select("digest", "text").mapInArrow(_true_texts(width), "digest binary, text string")
     texts = scratch.put(texts, "texts")
     edges = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     edges = scratch.put(edges.mapInArrow(_confirm(width, num, den), "a binary, b binary"), "confirmed")
