@@ -37,3 +37,14 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def near_labels(edges: DataFrame, scratch: Scratch, hops: int = 3) -> DataFrame:
+    """(node, root) with the least node within a few hops as root: part of a component, often all of it."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "near")
+    both = both.union(near.select(F.col("node").alias("u"), F.col("node").alias("v")))
+    for _ in range(hops - 1):
+        seen = both.join(near.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("root"))
+        near = scratch.put(seen.select(F.col("u").alias("node"), "root"), "near")
+    return near

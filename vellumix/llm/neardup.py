@@ -205,9 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     texts = scratch.put(texts, "texts")
     edges = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     edges = scratch.put(edges.mapInArrow(_confirm(width, num, den), "a binary, b binary"), "confirmed")
-    found = components(edges, scratch)
-    rest = _unsettled(found, members, texts, width, num, den, scratch)
-    found = components(edges.union(rest), scratch)
+    labels = near_labels(edges, scratch)
+    rest = _unsettled(labels, members, texts, width, num, den, scratch)
+    found = _joined_up(edges.union(rest), labels, scratch)
     roots = classes.select("digest", "first_id").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     roots = scratch.put(roots, "roots")
     least = scratch.put(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
@@ -242,6 +242,18 @@ def _likely_pairs(classes: DataFrame, members: DataFrame, num: int, den: int, sc
     return likely
 
 
+def _joined_up(edges: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) from all links, solved between the labels instead of the nodes."""
+    short = edges
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        short = short.join(own, end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    found = scratch.put(components(short.select("a", "b"), scratch), "found")
+    over = labels.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    over = over.select("node", F.coalesce("top", "root").alias("root"))
+    return over.union(found.join(labels.select("node"), "node", "left_anti"))
+
+
 def _unsettled(found: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Links between components that share a bucket, by comparing its blocks of members on full sets."""
     labels = members.where("n > 2").select("band", "key", "n", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
