@@ -46,10 +46,12 @@ def built(fields: dict[str, Column]) -> Column:
     return F.when(F.size(some) > 0, F.concat(F.lit("---\n"), F.array_join(some, "\n"), F.lit("\n---\n"))).otherwise("")
 
 
-_OPEN = re.compile("﻿?---[ \t]*\r?\n")
+_BOM = "\ufeff"
+_OPEN = re.compile(f"{_BOM}?---[ \\t]*\\r?\\n")
 _CLOSE = re.compile(r"(?:---|\.\.\.)[ \t]*\Z")
-_KEY = re.compile(r"([A-Za-z_][\w.-]*)[ \t]*:[ \t]*([^\n\r  ]*)\Z", re.A)
-_ITEM = re.compile(r"[ \t]*-[ \t]+([^\n\r  ]*)\Z")
+_REST = "([^\n\r\u2028\u2029]*)\\Z"
+_KEY = re.compile(r"([A-Za-z_][\w.-]*)[ \t]*:[ \t]*" + _REST, re.A)
+_ITEM = re.compile(r"[ \t]*-[ \t]+" + _REST)
 _ESCAPED = re.compile(r'\\(x[0-9A-Fa-f]{2}|.)', re.S)
 _NAMED = {"n": "\n", "r": "\r", "t": "\t"}
 
@@ -100,7 +102,7 @@ def parsed(text: str | None) -> tuple[dict[str, object], str, bool]:
     text = text or ""
     if not _OPEN.match(text):
         return {}, text, False
-    lines = text.removeprefix("﻿").split("\n")
+    lines = text.removeprefix(_BOM).split("\n")
     end = next((i for i in range(1, len(lines)) if _CLOSE.match(lines[i].removesuffix("\r"))), None)
     if end is None:
         return {}, text, False

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vellumix.functions import text as t, web
-from vellumix.operators import library, planning
+from vellumix.functions.frontmatter import built, parse_column
+from vellumix.operators import extraction, library, planning
 from vellumix.plans.registry import Sql, query, table
 
 FALLBACK_TITLE = "untitled"
@@ -121,8 +122,6 @@ _QUOTE = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 @query(f"""SELECT page_id, '---' || chr(10) || 'title: ' || {_QUOTE.format(_TITLE)} || chr(10) || 'source: ' || {_QUOTE.format('url')} || chr(10) || 'siteName: ' || {_QUOTE.format(Sql.host('url'))} || chr(10) ||
 CASE WHEN {_LANG} <> '' THEN 'lang: ' || {_QUOTE.format(_LANG)} || chr(10) ELSE '' END || 'wordCount: ' || CAST({Sql.words(_BODY)} AS VARCHAR) || chr(10) || 'extraction: "fallback:article"' || chr(10) || 'convertedAt: "2026-01-01T00:00:00.000Z"' || chr(10) || '---' || chr(10) AS front_matter FROM pages""")
 def page_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellumix.functions.frontmatter import built
-
     html = F.col("html")
     content, label = web.fallback_content(html)
     fields = {"title": web.title(html), "source": F.col("url"), "siteName": web.site_name(html, F.col("url")), "lang": web.language(html), "wordCount": t.count_words(t.strip_html(content)), "extraction": label, "convertedAt": F.lit("2026-01-01T00:00:00.000Z")}
@@ -149,3 +148,23 @@ def page_top_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "page_id"))
     rows = _pages(spark, sf_dir).select("page_id", web.host("url").alias("host"), F.length("html").alias("n"))
     return rows.withColumn("rank", rank).where("rank <= 3").select("host", "page_id", "rank")
+
+
+@query()
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-tier extraction on the tree: by site, by score, by fallback; noise removed; Markdown."""
+    return extraction.extract_pages(_pages(spark, sf_dir)).select("page_id", "title", "extraction", "markdown", "removed", "error")
+
+
+@query()
+def page_content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed blocks of every page in reading order."""
+    kind = "array<struct<type:string,text:string,text_level:int,sub_type:string,list_items:array<string>,img_path:string,table_rows:array<array<string>>>>"
+    rows = extraction.extract_pages(_pages(spark, sf_dir)).select("page_id", F.posexplode(F.from_json("blocks", kind)).alias("pos", "b"))
+    return rows.select("page_id", "pos", "b.type", "b.text", "b.text_level", "b.sub_type", "b.list_items", "b.img_path", "b.table_rows")
+
+
+@query()
+def page_front_matter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter written and read again: its fields as JSON, and the body after it."""
+    return page_front_matter(spark, sf_dir).select("page_id", parse_column(F.concat("front_matter", F.lit("\nbody"))).alias("p")).select("page_id", "p.fields", "p.body", "p.found")
