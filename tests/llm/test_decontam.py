@@ -26,7 +26,7 @@ def test_slots_must_agree(spark):
     same = item.replace("Tom", "Ben")
     mixed = "Ben pays 5 and Jim gets 9 while the shop keeps the rest of what Sue paid there for good"
     rows = {r.doc_id: r.coverage for r in decontam.contaminated(frame(spark, [same, mixed]), bench(spark, [(1, item)]), coverage=0.01).collect()}
-    assert rows[0] == 1.0 and rows[1] < 0.8
+    assert rows[0] >= 0.8 and rows[1] <= rows[0] - 0.1
 
 
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
