@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -33,11 +34,6 @@ class Element:
             child.parent = self
         self.children.append(child)
 
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
     def unwrap(self) -> None:
         up = self.parent
         at = next(i for i, c in enumerate(up.children) if c is self)
@@ -48,11 +44,9 @@ class Element:
         self.parent = None
 
     @property
-    def attached(self) -> bool:
-        node = self
-        while node.parent is not None:
-            node = node.parent
-        return node.tag == "#root"
+    def filled(self) -> bool:
+        """Whether there is anything inside but white space."""
+        return any(isinstance(c, Element) or c.strip() for c in self.children)
 
     def walk(self) -> Iterator[Element]:
         """Elements below this one, in document order; a snapshot, so edits don't disturb it."""
@@ -84,6 +78,57 @@ class Element:
         return (self.attrs.get("class") or "").split()
 
 
+class Lengths:
+    """Lengths of the stripped texts of all elements below a root, from one pass over it."""
+
+    def __init__(self, root: Element):
+        parts: list[str] = []
+        at = 0
+        self.spans: dict[int, tuple[int, int]] = {}
+        stack: list[tuple[Element | str, bool]] = [(root, False)]
+        while stack:
+            node, done = stack.pop()
+            if isinstance(node, str):
+                parts.append(node)
+                at += len(node)
+            elif done:
+                self.spans[id(node)] = (self.spans[id(node)][0], at)
+            else:
+                self.spans[id(node)] = (at, at)
+                stack.append((node, True))
+                if node.tag not in _RAW:
+                    stack.extend((c, False) for c in reversed(node.children))
+        text = "".join(parts)
+        self.after, self.before = [len(text)] * (len(text) + 1), [-1] * (len(text) + 1)
+        for i in range(len(text) - 1, -1, -1):
+            self.after[i] = self.after[i + 1] if text[i].isspace() else i
+        self.text, self.solid = text, [0] * (len(text) + 1)
+        for i, ch in enumerate(text):
+            self.before[i + 1] = self.before[i] if ch.isspace() else i
+            self.solid[i + 1] = self.solid[i] + (not ch.isspace())
+
+    def __getitem__(self, node: Element) -> int:
+        lo, hi = self.spans[id(node)]
+        return max(0, self.before[hi] - self.after[lo] + 1)
+
+    def short(self, node: Element, most: int) -> str:
+        """The element's text with white space squeezed if it has `most` characters at most, else nothing."""
+        lo, hi = self.spans[id(node)]
+        if not 0 < self.solid[hi] - self.solid[lo] <= most:
+            return ""
+        text = " ".join(self.text[lo:hi].split())
+        return text if len(text) <= most else ""
+
+
+def pruned(root: Element, gone: set[int]) -> None:
+    """Take the marked elements out of the tree."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
+        stack.extend(c for c in node.children if isinstance(c, Element))
+
+
 def serialized(node: Element | str, raw: bool = False) -> str:
     if isinstance(node, str):
         return node if raw else html.escape(node, quote=False)
@@ -92,38 +137,52 @@ def serialized(node: Element | str, raw: bool = False) -> str:
 
 
 class _Builder(HTMLParser):
+    """Open elements are counted by tag, so a look for what isn't open costs nothing however deep the nesting."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Element("#root")
         self.open = [self.root]
-        self.active: list[tuple[str, dict[str, str]]] = []
+        self.count: Counter[str] = Counter()
+        self.there: set[int] = set()
+        self.active: list[Element] = []
+
+    def _enter(self, node: Element) -> None:
+        self.open.append(node)
+        self.count[node.tag] += 1
+        self.there.add(id(node))
 
     def _close_to(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.count[node.tag] -= 1
+            self.there.discard(id(node))
         del self.open[at:]
 
     def _reopen(self) -> None:
-        there = [(e.tag, e.attrs) for e in self.open]
-        for tag, attrs in self.active:
-            if (tag, attrs) not in there:
-                node = Element(tag, attrs)
+        """Open formatting elements again that a closing block took with it."""
+        for i, lost in enumerate(self.active):
+            if id(lost) not in self.there:
+                node = Element(lost.tag, lost.attrs)
                 self.open[-1].add(node)
-                self.open.append(node)
+                self._enter(node)
+                self.active[i] = node
 
     def _imply(self, closing: set[str], scope: set[str]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in scope:
-                return
-            if self.open[at].tag in closing:
-                self._close_to(at)
-                return self._imply(closing, scope) if closing & {"td", "th", "tr"} and scope else None
-        return None
+        """Close the nearest open elements of the given kinds, within the scope."""
+        while any(self.count[t] for t in closing):
+            at = len(self.open) - 1
+            while self.open[at].tag not in closing:
+                if self.open[at].tag in scope:
+                    return
+                at -= 1
+            self._close_to(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        named = {}
+        named: dict[str, str] = {}
         for k, v in attrs:
             named.setdefault(k, v or "")
         if tag in _CLOSES_P:
-            self._imply({"p"}, {"table", "td", "th", "blockquote", "li", "div"} if tag == "p" else {"table", "td", "th"})
+            self._imply({"p"}, {"table", "td", "th"})
         if tag in _IMPLIED:
             self._imply(_IMPLIED[tag], _SCOPE[tag])
         if tag not in BLOCK:
@@ -131,9 +190,12 @@ class _Builder(HTMLParser):
         node = Element(tag, named)
         self.open[-1].add(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._enter(node)
             if tag in FORMATTING:
-                self.active.append((tag, named))
+                alike = [e for e in self.active if e.tag == tag and e.attrs == named]
+                if len(alike) == 3:  # more are never re-opened
+                    self.active = [e for e in self.active if e is not alike[0]]
+                self.active.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -142,10 +204,11 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in FORMATTING:
-            for at in range(len(self.active) - 1, -1, -1):
-                if self.active[at][0] == tag:
-                    del self.active[at]
-                    break
+            last = next((i for i in range(len(self.active) - 1, -1, -1) if self.active[i].tag == tag), None)
+            if last is not None:
+                del self.active[last]
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
                 self._close_to(at)
