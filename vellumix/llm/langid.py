@@ -215,7 +215,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return chosen.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: ByteNet | None, least_score: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, net: ByteNet | None, least_score: float = 0.3) -> DataFrame:
     """Rows of docs, unchanged, whose language is known with at least least_score."""
     ship(docs.sparkSession)
 
