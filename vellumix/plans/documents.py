@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vellumix.functions import text as t
 from vellumix.operators import ordered
 from vellumix.plans.registry import Sql, query, table
+from vellumix.sources import markdown, office, word_writer
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,3 +182,25 @@ def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("turn", part.alias("part"))))
     body = F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(body).alias("body"), F.count("*").alias("turns"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, line_no, line, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM l)
+SELECT doc_id, count(DISTINCT g) AS paragraphs FROM p WHERE trim(line) <> '' GROUP BY doc_id""")
+def doc_paragraph_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines that blank lines part."""
+    parts = F.filter(F.split("text", r"\n[ ]*(?=\n|\z)", -1), lambda p: p.rlike(rf"[^{t.WS}]"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(parts).cast("long").alias("paragraphs")).where("paragraphs > 0")
+
+
+@query()
+def doc_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as Markdown: typed blocks as JSON."""
+    return markdown.read_markdown(_docs(spark, sf_dir))
+
+
+@query()
+def doc_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as word-processor files and read again: how many blocks come back, and of what kinds."""
+    files = word_writer.to_word(doc_markdown_blocks(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("path"), "content")
+    back = office.read_word(files)
+    return back.groupBy("path").agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("error").isNotNull()).alias("errors"))
