@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vellumix.functions import text as t, web
+from vellumix.functions import display, math, text as t, web
 from vellumix.operators import ordered, planning
 from vellumix.plans.registry import Sql, fixture, query, table
 
@@ -247,9 +247,46 @@ def first_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min_by("l_orderkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_order"))
 
 
-_indents, _INDENTS = fixture("id, text, want", "(1, '　　a', 2), (2, '    b', 2), (3, ' c', 0), (4, '　 d', 2), (5, '   e', 2), (6, 'f', 0)")
+_indents, _INDENTS = fixture("id, text, want", "(1, '\u3000\u3000a', 2), (2, '\u00a0\u00a0\u00a0\u00a0b', 2), (3, '    c', 0), (4, '\u3000 d', 0), (5, '\u00a0 \u00a0\u00a0e', 2), (6, 'f', 0), (7, ' \u2003\u00a0g', 2)")
 
 
 @query(f"WITH {_INDENTS} SELECT id, CAST(want AS BIGINT) AS indent FROM t")
 def leading_indents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indents(spark).select("id", t.leading_indent(F.col("text")).alias("indent"))
+
+
+_images, _IMAGES = fixture("id, width, height, style, data_w, host, want", """(1, '300', '200px', '', '', 'h', '300x200'), (2, '50%', '9', '', '', 'h', '50%'), (3, '', '', 'a:b; width : 120.4px;height:60px', '', 'h', '120x60'), (4, '', '', '', '800', 'h', NULL),
+(5, '', '', '', '800', 'mp.weixin.qq.com', '677'), (6, '50%', '', '', '', 'x.mp.weixin.qq.com', '339'), (7, '1354', '100', '', '', 'mp.weixin.qq.com', '677x50'), (8, '0', '', 'width:101%', '', 'h', NULL), (9, '12em', '', '', '', 'h', NULL)""")
+
+
+@query(f"WITH {_IMAGES} SELECT id, want AS display FROM t")
+def image_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return _images(spark).select("id", display.display_size(c("width"), c("height"), c("style"), c("data_w"), c("host")).alias("display"))
+
+
+_chains, _CHAINS = fixture("id, own, up, want", "(1, 'text-indent:2em', '', 2), (2, '', 'font-size:20px;text-indent: 40px', 2), (3, 'font-size:10px', 'text-indent:3rem', 4), (4, 'text-indent:-2em', 'text-indent:2em', 0), (5, 'text-indent:0.4em', '', 0), (6, 'text-indent:2', '', 0), (7, '', '', 0), (8, 'text-indent:1.5em !important', '', 2)")
+
+
+@query(f"WITH {_CHAINS} SELECT id, CAST(want AS BIGINT) AS indent FROM t")
+def style_indents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chains(spark).select("id", display.style_indent(F.array("own", "up")).alias("indent"))
+
+
+_lones, _LONES = fixture("id, text, want", "(1, 'a|<img src=x>|b', 'a||<img src=x>||b'), (2, '<img a>|<img b>', '<img a>||<img b>'), (3, '```|a|<img x>|```|<img y>|z', '```|a|<img x>|```||<img y>||z'), (4, 'a||<img x>||b', 'a||<img x>||b'), (5, '', ''), (6, 'a <img x>|b', 'a <img x>|b')")
+
+
+@query(f"WITH {_LONES} SELECT id, want AS text FROM t")
+def isolated_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = display.isolate_images(_lones(spark).select("id", F.translate("text", "|", "\n").alias("text")), "id", "text")
+    return done.select("id", F.translate("text", "\n", "|").alias("text"))
+
+
+_formulas, _FORMULAS = fixture("id, num, den, want", "(1, 'a', 'b', 'a/b'), (2, 'x1', 'y', '(x1)/y'), (3, '12', '345', '(12)/(345)')")
+
+
+@query(f"WITH {_FORMULAS} SELECT id, want AS text, true AS fine FROM t")
+def formula_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda name: F.concat(F.lit(f"<m:{name}><m:r><m:t>"), name, F.lit(f"</m:t></m:r></m:{name}>"))
+    omml = F.concat(F.lit('<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:f>'), part("num"), part("den"), F.lit("</m:f></m:oMath>"))
+    return _formulas(spark).select("id", math.omml_to_mathml(omml).alias("m")).select("id", "m.text", F.contains("m.mathml", F.lit("<mfrac>")).alias("fine"))
