@@ -49,6 +49,28 @@ def test_targets_and_takes(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_every_pass_follows_the_schedule(spark):
+    def demand(t, knots):
+        area = lambda t: sum((min(max(t, a), b) - a) * (u + u + (v - u) * (min(max(t, a), b) - a) / (b - a)) / 2 for (a, u), (b, v) in zip(knots, knots[1:]))
+        return area(t) / area(1.0)
+
+    docs = frame(spark, [prose(i, 20 + i % 30) for i in range(240)], ["abc"[i % 3] for i in range(240)])
+    mixed = mixing.mix(docs)
+    rows = mixed.collect()
+    source = {i: "abc"[i % 3] for i in range(240)}
+    target = {source[r.doc_id]: r.target for r in rows}
+    assert all(sum(p.taken for p in r.schedule) == r.taken and (r.position == r.schedule[0].position if r.schedule else r.position is None) for r in rows)
+    assert max(len(r.schedule) for r in rows) == 2
+    passes = mixing.by_pass(mixed).collect()
+    assert [p.position for p in passes] == sorted(p.position for p in passes)
+    before = defaultdict(int)
+    for p in passes:
+        s = source[p.doc_id]
+        assert before[s] / target[s] == pytest.approx(demand(p.position, mixing.SCHEDULES["abc".index(s)]), abs=1e-6)
+        before[s] += p.taken
+    assert all(before[s] == int(target[s] + 1e-9) for s in target)
+
+
 def test_empty_table_and_wordless_sources(spark):
     docs = frame(spark, ["", None], ["a", "b"])
     assert mixing.mix(docs.limit(0)).count() == 0

@@ -11,8 +11,10 @@ id).  A source's weight follows a piecewise linear schedule over training time;
 its integral, scaled to the target, is the source's cumulative demand for words.
 A document is due when the demand reaches the words before it: inverting the
 integral gives its position in [0, 1].  A second pass goes through the same order
-again.  The last document is cut at the target, so a source's taken words are its
-target rounded down.  The result is range-sorted by position.
+again, due a whole source later, so `schedule` has a position for each pass of a
+document and the words that pass takes; `position` is the first of them.  The last
+document is cut at the target, so a source's taken words are its target rounded
+down.  The result is range-sorted by position; by_pass() sorts all passes.
 
 Running sums over a source go by hash bucket: sums of buckets first, then within
 buckets, so a hot source is spread over many tasks.
@@ -77,7 +79,10 @@ def time_of(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, most_passes: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position and passes, a row for each row of docs, sorted by position."""
+    """doc_id, size, source_size, target, taken, position, schedule and passes, a row for each row of docs, sorted by position.
+
+    schedule: array of struct(position, taken), one for each pass that takes words of the document, in order.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = sizes(docs).select("doc_id", "size", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), order.alias("order"))
@@ -98,12 +103,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[S
     whole = F.floor("target").cast("long")
     each = [F.least(F.col("size"), F.greatest(F.lit(0), whole - F.col("source_size") * k - start)) for k in range(most_passes)]
     taken = sum(each[1:], each[0])
-    due = F.when(F.col("target") > 0, start / F.col("target"))
-    position = None
-    for turn, knots in reversed(list(enumerate(schedules))):
-        here = time_of(due, knots)
-        position = here if position is None else F.when(F.col("turn") % len(schedules) == turn, here).otherwise(position)
-    placed = placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"))
-    passes = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, F.round("position", 9))).withColumn("passes", passes)
+
+    def time_at(due: Column) -> Column:
+        position = None
+        for turn, knots in reversed(list(enumerate(schedules))):
+            here = time_of(due, knots)
+            position = here if position is None else F.when(F.col("turn") % len(schedules) == turn, here).otherwise(position)
+        return F.round(position, 9)
+
+    due = [F.when(F.col("target") > 0, (start + F.col("source_size") * k) / F.col("target")) for k in range(most_passes)]
+    passes = F.array(*[F.struct(time_at(d).alias("position"), words.alias("taken")) for d, words in zip(due, each)])
+    placed = placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.filter(passes, lambda p: p["taken"] > 0).alias("schedule"))
+    placed = placed.select("doc_id", "size", "source_size", "target", "taken", F.get("schedule", F.lit(0))["position"].alias("position"), "schedule")
+    placed = placed.withColumn("passes", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
     return placed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def by_pass(mixed: DataFrame) -> DataFrame:
+    """doc_id, pass (from 0), taken and position: a row for each pass of each document of mix(), sorted by position."""
+    each = mixed.select("doc_id", F.posexplode("schedule").alias("pass", "p")).select("doc_id", "pass", F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
+    return each.orderBy("position", "doc_id", "pass")
