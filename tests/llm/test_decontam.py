@@ -21,6 +21,13 @@ def test_copies_and_new_parameters(spark):
     assert {(0, 1), (1, 1), (8, 2)} <= got and not {d for d, _ in got} & {2, 3, 4, 5, 6}
 
 
+def test_copies_in_other_letter_case(spark):
+    other = "Große Äpfel aus Österreich kosten im März 12 Euro und Ömer Müßig kauft sie nicht"
+    texts = [ITEM.upper(), ITEM.lower(), f"x y {ITEM.upper()} z", other.upper(), other.lower(), prose(9, 40).upper()]
+    got = found(spark, texts, [(1, ITEM), (2, other)])
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)}
+
+
 def test_slots_must_agree(spark):
     item = "Tom pays 5 and Tom gets 9 while the shop keeps the rest of what Tom paid there for good"
     same = item.replace("Tom", "Ben")

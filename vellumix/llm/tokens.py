@@ -131,6 +131,21 @@ def word_hashes(column, lower: bool = False) -> Iterator[tuple[int, int, np.ndar
         yield lo, hi, hash_words(part, starts, ends, lower), first
 
 
+def prefix_sums(words: np.ndarray) -> np.ndarray:
+    """What run_hashes needs to hash any run of these words."""
+    up, _ = _word_powers(len(words) + 1)
+    sums = np.empty(len(words) + 1, _U)
+    sums[0] = 0
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rabin-Karp hashes of runs of any widths, as rolling() has them."""
+    _, down = _word_powers(len(sums))
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash of every run of `width` words, documents' ends ignored."""
     n = len(words)
