@@ -28,6 +28,20 @@ def test_copies_in_other_letter_case(spark):
     assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)}
 
 
+def test_dense_slots_and_short_items(spark):
+    items = {1: "What is 15 plus 27 times 3 minus 8", 2: "Anna Smith paid 12 dollars and Peter Jones paid 15 euros for 3 kg", 3: "Anna paid 12 dollars, Peter 15 euros", 4: "who wrote Faust", 5: "a 1 2 3 4 5 6 7 b 8 9 c", 6: "1 2 3 4 5 6"}
+    texts = [
+        "so: What is 41 plus 66 times 9 minus 2 then", "Maria Lopez paid 99 dollars and Hugo Bauer paid 40 euros for 8 kg", "x Maria paid 7 dollars, Hugo 8 euros y", "He asked WHO WROTE FAUST today",
+        "a 9 8 7 6 5 4 3 b 2 1 c", "9 8 7 6 5 4", "1 2 3 4 5 6", "What is 41 minus 66 plus 9 times 2", "who wrote", *[prose(i, 60) for i in range(4)],
+    ]
+    assert found(spark, texts, list(items.items())) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (6, 6)}
+
+
+def test_dense_slots_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 3)
+    test_dense_slots_and_short_items(spark)
+
+
 def test_slots_must_agree(spark):
     item = "Tom pays 5 and Tom gets 9 while the shop keeps the rest of what Tom paid there for good"
     same = item.replace("Tom", "Ben")

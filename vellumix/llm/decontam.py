@@ -4,7 +4,10 @@ Numbers, names (capitalised words) and units after numbers become typed
 placeholders, so an item asked again with other values keeps its template.  Every
 run of `width` words of an item and of a document is hashed and hash-joined, by
 its template and by its exact words in lower case; either may meet, so a copy in
-other letter case is met too.  A window with too few literal words has no template.  For each document and item that meet, the item's slot values must
+other letter case is met too.  A template window with too few literal words is
+widened to the right, or else to the left, until it has enough; where a whole item
+has too few, it is one window of its own length, met by its template if it has any
+literal word.  For each document and item that meet, the item's slot values must
 map to the document's consistently; windows against the majority don't count.  A
 document whose windows cover `coverage` of an item's windows is contaminated.
 
@@ -12,8 +15,11 @@ The benchmark's windows are counted first: up to BROADCAST_WINDOWS of them are
 broadcast and also screen the documents' windows as those are made; beyond that,
 all windows are shuffled by hash.
 
-Nulls and ties: a null text has no window; an item of fewer words than
-`width` is never met.  Items without id count by their text's hash.  Repeated rows
+Documents are also read at the widths of those items that are one window, a pass
+for each such width.
+
+Nulls and ties: a null text has no window; an item of fewer words than `width` is
+one window, met by its exact words, or by its template if that has enough literals.  Items without id count by their text's hash.  Repeated rows
 get equal results.  Of equally covered items the one with the smaller id is named.
 Columns besides doc_id and text (item_id and text) are ignored.
 """
@@ -122,10 +128,24 @@ def _of_items(runs: _Runs):
         found.append((starts, ends, np.full(n, exact), places, np.broadcast_to(span, n), np.full(n, own)))
 
     at = runs.plain(runs.width)
-    enough = at[runs.literals(at, at + runs.width) >= runs.need]
-    put(enough, enough + runs.width, False, enough, 1, False)
+    right = runs.rightwards(at)
+    put(at[right >= 0], right[right >= 0], False, at[right >= 0], 1, False)
+    rest = at[right < 0]
+    left = runs.leftwards(rest + runs.width)
+    put(left[left >= 0], rest[left >= 0] + runs.width, False, rest[left >= 0], 1, False)
+    owners, places, span = np.unique(runs.owner[rest[left < 0]], return_index=True, return_counts=True)
+    places = rest[left < 0][places]
+    lo, hi = runs.first[owners], runs.first[owners + 1]
+    some = runs.literals(lo, hi) > 0
+    put(lo[some], hi[some], False, places[some], span[some], True)
     slotted = at[runs.literals(at, at + runs.width) < runs.width]
     put(slotted, slotted + runs.width, True, slotted, 1, False)
+    length = np.diff(runs.first)
+    short = np.flatnonzero((length > 0) & (length < runs.width))
+    lo, hi = runs.first[short], runs.first[short + 1]
+    put(lo, hi, True, lo, 1, True)
+    some = (runs.literals(lo, hi) >= runs.need) & (runs.literals(lo, hi) < hi - lo)
+    put(lo[some], hi[some], False, lo[some], 1, True)
     return [np.concatenate(x) for x in zip(*found)]
 
 
@@ -138,8 +158,11 @@ def _of_documents(runs: _Runs, own: list[int], longest: int):
         found.append((starts[fits], ends[fits], np.full(int(fits.sum()), exact)))
 
     at = runs.plain(runs.width)
-    enough = at[runs.literals(at, at + runs.width) >= runs.need]
-    put(enough, enough + runs.width, False)
+    right = runs.rightwards(at)
+    put(at[right >= 0], right[right >= 0], False)
+    few = at[runs.literals(at, at + runs.width) < runs.need]
+    left = runs.leftwards(few + runs.width)
+    put(left[left >= 0], few[left >= 0] + runs.width, False)
     slotted = at[runs.literals(at, at + runs.width) < runs.width]
     put(slotted, slotted + runs.width, True)
     for width in own:
