@@ -81,6 +81,24 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert all(out[i].spans == "" and out[i].n_copied == 1 for i in range(1, 5)) and out[6].spans == ""
 
 
+def private_key(seed, lines=6, sep="\n"):
+    body = sep.join(sha(f"{seed}-{i}").upper()[:40] + "aB/+" * 6 for i in range(lines))
+    return f"-----BEGIN RSA PRIVATE KEY-----{sep}{body}{sep}-----END RSA PRIVATE KEY-----"
+
+
+def test_private_keys_and_credentials_in_addresses(spark):
+    keys = [private_key(i) for i in range(5)]
+    copied = [private_key(9), private_key(9, sep="\\n"), private_key(9, sep="\r\n")]
+    bare = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [f"key {k} end" for k in keys] + [f"docs {c} end" for c in copied] + [f"see {bare} ok"] * 4
+    texts += ["db postgres://admin:hunter2pass99@ here", "ftp://bob:changeme99@ x", keys[0][:200], "p ftp://joe:correcthorse@ q"]
+    out = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(frame(spark, texts, [f"o{i}" for i in range(len(texts))]))).collect()}
+    assert [out[i].spans for i in range(5)] == [f"live:4:{4 + len(k)}" for k in keys]
+    assert [(out[i].spans, out[i].n_copied) for i in (5, 6, 7)] == [("", 1)] * 3
+    assert [out[i].spans for i in range(8, 12)] == [f"live:4:{4 + len(bare)}"] * 4
+    assert out[12].spans == f"live:3:{3 + len('postgres://admin:hunter2pass99@')}" and out[13].spans == "" and out[14].spans == "live:0:200" and out[15].spans == "live:2:25"
+
+
 def test_matches_with_many_and_none(spark):
     df = spark.createDataFrame([("a1b22c333" * 50,), ("none",), ("",), (None,)], "t string")
     rows = df.select("t", matches(F.coalesce("t", F.lit("")), "[0-9]+").alias("m")).collect()

@@ -30,14 +30,18 @@ BASE = {
     "hex": r"[0-9a-f]{24,}",
 }
 _NAME_PART = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-#: Public prefixes of issued keys, signed tokens, private-key headers, credentials in addresses, and long mixed strings.
+_BEGIN, _END = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: Private keys up to their last line, or as far as they go; public prefixes of issued keys, signed tokens, credentials in addresses, and long mixed strings.
 GENERATORS = (
+    _BEGIN + r"(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+" + _END + r"|(?:(?:\\[nr]|[\x20\x09-\x0D])*+[A-Za-z0-9+/=]{16,}+){0,400}+)",
     r"(?<![A-Za-z0-9_])(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|ya29\.|npm_|pypi-|SG\.)[A-Za-z0-9_.-]{16,}",
     r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
     r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9_.-]{1,64}:[^\x20\x09-\x0D@/]{6,64}@",
     r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])",
 )
+_ADDRESS = r"^[a-z][a-z0-9+.-]*://[^:/]*:(.*)@$"
+#: A private key of a shorter body is only a header: it has no value to compare, so each document's is its own.
+LEAST_BODY = 16
 #: Values that as many owners hold count as copied examples.
 MANY_OWNERS = 3
 
@@ -60,15 +64,20 @@ def _base(text: Column) -> Column:
 
 
 def _live_looking(value: Column) -> Column:
-    """Several kinds of characters, many different ones, no words that mark examples."""
+    """Many different characters, several kinds of them but in an address's password, no words that mark examples."""
+    address = value.rlike(_ADDRESS)
+    part = F.when(address, F.regexp_extract(value, _ADDRESS, 1)).otherwise(value)
     kinds = value.rlike("[a-z]").cast("int") + value.rlike("[A-Z]").cast("int") + value.rlike("[0-9]").cast("int")
-    varied = F.size(F.array_distinct(F.split(value, ""))) * 2.5 >= F.least(F.length(value), F.lit(40))
-    plain = ~value.rlike(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|1234567|abcdef|(.)\1{4}")
-    return value.startswith("-----BEGIN") | ((kinds >= 3) & varied & plain)
+    varied = F.size(F.array_distinct(F.split(part, ""))) * 2.5 >= F.least(F.length(part), F.lit(40))
+    plain = ~part.rlike(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|1234567|abcdef|(.)\1{4}")
+    return value.startswith("-----BEGIN") | ((address | (kinds >= 3)) & varied & plain)
 
 
-def _key(value: Column) -> Column:
-    return F.sha2(F.regexp_replace(value, _NAME_PART, ""), 256)
+def _key(value: Column, holder: Column) -> Column:
+    """The hash of a value: of a private key's body however its lines are broken; of a bare header, with its holder."""
+    body = F.regexp_replace(F.regexp_replace(value, f"{_BEGIN}|{_END}", ""), r"\\[nr]|[^A-Za-z0-9+/=]", "")
+    private = F.when(F.length(body) >= LEAST_BODY, body).otherwise(F.concat(value, holder))
+    return F.sha2(F.when(value.startswith("-----BEGIN"), private).otherwise(F.regexp_replace(value, _NAME_PART, "")), 256)
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", many_owners: int = MANY_OWNERS) -> DataFrame:
@@ -90,7 +99,8 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         return F.struct(base.alias("base"), let(wide, clear).alias("wide"))
 
     named = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.xxhash64("text").alias("h"), let(_base(text), proposals).alias("s"))
-    keyed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["rank"], _key(s["text"]).alias("key")))
+    holder = F.to_json(F.struct("owner", "repository", "doc_id"))
+    keyed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["rank"], _key(s["text"], holder).alias("key")))
     found = scratch.put(named.select("doc_id", "owner", "repository", "h", keyed(F.col("s.base")).alias("base"), keyed(F.col("s.wide")).alias("wide")), "found")
 
     held = found.select("doc_id", "owner", "repository", "h", F.explode(F.concat("base", "wide")).alias("c")).select("doc_id", "owner", "repository", "h", F.col("c.key").alias("key"))
