@@ -99,6 +99,16 @@ def test_private_keys_and_credentials_in_addresses(spark):
     assert out[12].spans == f"live:3:{3 + len('postgres://admin:hunter2pass99@')}" and out[13].spans == "" and out[14].spans == "live:0:200" and out[15].spans == "live:2:25"
 
 
+def test_many_repositories_of_one_owner_are_copies(spark):
+    hot, few = "ghp_" + "Zz9yX8wV7uTsRqPoNmLk34", "ghp_" + "Ab3dE6gH9jKlMnOpQrSt12"
+    n = secrets.MANY_REPOSITORIES
+    texts = [f"docs {hot} end"] * (n + 1) + [f"mine {few} end"] * n + [f"docs {hot} end"]
+    sources = ["hot"] * (2 * n + 1) + ["other"]
+    out = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(frame(spark, texts, sources))).collect()}
+    assert [(out[i].spans, out[i].n_copied) for i in [*range(n + 1), 2 * n + 1]] == [("", 1)] * (n + 2)
+    assert all(out[i].spans.startswith("live:5:") for i in range(n + 1, 2 * n + 1))
+
+
 def test_matches_with_many_and_none(spark):
     df = spark.createDataFrame([("a1b22c333" * 50,), ("none",), ("",), (None,)], "t string")
     rows = df.select("t", matches(F.coalesce("t", F.lit("")), "[0-9]+").alias("m")).collect()

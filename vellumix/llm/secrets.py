@@ -2,9 +2,9 @@
 
 Base spans come from three patterns.  Wider generators propose values that look
 like credentials.  The hash of every candidate's value is counted over the whole
-corpus by distinct repositories and distinct owners: a value that many owners hold
-is an example copied from documentation; one that few hold and that has the look
-of a live key becomes a span of kind "live".  Only JVM expressions are used.
+corpus by distinct repositories and distinct owners: a value that many owners hold,
+or one owner in many repositories, is an example copied from documentation; one
+that few hold and that has the look of a live key becomes a span of kind "live".  Only JVM expressions are used.
 
 Counts are pre-aggregated by (value, owner, repository) before each shuffle.  A
 widely copied value has many rows in the join that follows; it reads two written
@@ -44,6 +44,8 @@ _ADDRESS = r"^[a-z][a-z0-9+.-]*://[^:/]*:(.*)@$"
 LEAST_BODY = 16
 #: Values that as many owners hold count as copied examples.
 MANY_OWNERS = 3
+#: So do values that one owner holds in more repositories than this.
+MANY_REPOSITORIES = 10
 
 
 def _ranked(spans: Column, rank: int) -> Column:
@@ -80,7 +82,7 @@ def _key(value: Column, holder: Column) -> Column:
     return F.sha2(F.when(value.startswith("-----BEGIN"), private).otherwise(F.regexp_replace(value, _NAME_PART, "")), 256)
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", many_owners: int = MANY_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", many_owners: int = MANY_OWNERS, many_repositories: int = MANY_REPOSITORIES) -> DataFrame:
     """doc_id, base and all spans, and how many spans hold values that are widely copied.
 
     spans: array of struct(start, rank, end, kind), ends exclusive, in code points.
@@ -106,9 +108,9 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     held = found.select("doc_id", "owner", "repository", "h", F.explode(F.concat("base", "wide")).alias("c")).select("doc_id", "owner", "repository", "h", F.col("c.key").alias("key"))
     held = scratch.put(held.distinct(), "held")
     spread = held.select("key", F.coalesce("owner", F.lit("")).alias("o"), F.col("owner").isNull().alias("n"), "repository").distinct()
-    spread = spread.groupBy("key", "o", "n").agg(F.count("*").alias("repositories")).groupBy("key").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    spread = spread.groupBy("key", "o", "n").agg(F.count("*").alias("repositories")).groupBy("key").agg(F.count("*").alias("owners"), F.max("repositories").alias("repositories"))
     spread = scratch.put(spread, "spread")
-    judged = held.join(spread, "key").where(F.col("owners") >= many_owners).groupBy("doc_id", "h").agg(F.collect_set("key").alias("copied"))
+    judged = held.join(spread, "key").where((F.col("owners") >= many_owners) | (F.col("repositories") > many_repositories)).groupBy("doc_id", "h").agg(F.collect_set("key").alias("copied"))
     judged = scratch.put(judged, "judged")
     scratch.drop(held)
     right = judged.select(F.col("doc_id").alias("j_doc"), F.col("h").alias("j_h"), "copied")
