@@ -65,6 +65,21 @@ def test_candidates_for_personal_data(spark):
     assert ((m.probability(x) >= m.threshold) == y).mean() > 0.95
 
 
+def test_wider_candidates_for_personal_data(spark):
+    found = {
+        "ip": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3::8a2e:370:7334"],
+        "phone": ["020 7946 0958", "01 23 45 67 89", "91 123 45 67", "0049 30 901820", "1-800-555-0199"],
+        "card": ["4111 1111 1111 1112", "4111-1111-1111-1112", "3782 822463 10006"],
+        "email": ["JANE AT MAIL DOT ORG", "jane@mail dot org", "jane(AT)mail(DOT)org"],
+    }
+    lead = {"ip": "host ", "phone": "call ", "card": "visa ", "email": "write to "}
+    cases = [(kind, lead[kind], value) for kind, values in found.items() for value in values]
+    texts = [f"{a}{v} now" for _, a, v in cases] + ["order 4111 1111 1111 1112 came", "ref 020 7946 0958 of", "std::vector and a::b", "in 2019 there were 12 people", "10 000 000 of"]
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(frame(spark, texts))).collect()}
+    assert [spans[i] for i in range(len(cases))] == [f"{k}:{len(a)}:{len(a) + len(v)}" for k, a, v in cases]
+    assert [spans[i] for i in range(len(cases), len(texts))] == [""] * 5
+
+
 def test_redaction(spark):
     docs = frame(spark, ["a@b.co and 10.0.0.1", None])
     found = pii.find_pii(docs).join(docs.select("doc_id", "text"), "doc_id")

@@ -2,7 +2,8 @@
 
 Base spans come from four patterns with checks.  Generators of high recall propose
 further, overlapping spans: addresses spelled out ("name at host dot com"),
-national phone numbers, grouped or mistyped card numbers, IPv6 addresses.  Boosted
+national phone numbers, grouped or mistyped card numbers, IPv6 addresses also in
+short form.  Boosted
 trees over the candidate's form and the words around it give a calibrated
 probability; candidates at or over the threshold that overlap no base span and no
 likelier candidate become spans of their kind.  The trees are fitted on the driver
@@ -35,12 +36,13 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 #: Generators: kind and a pattern that both Java and Python read alike.
 GENERATORS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{2,63}){1,4}"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("card", r"(?<![0-9A-Za-z.])[0-9]{4}(?:[./][0-9]{4}){2}[./][0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])[0-9]{13,19}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
+    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{2,63}){1,4}| ?@ ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4})"),
+    ("ip", rf"(?<![0-9A-Za-z:])(?:(?:{_GROUP}:){{4,7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])"),
+    ("card", r"(?<![0-9A-Za-z.])[0-9]{4}(?:[./ -][0-9]{4}){2}[./ -][0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{4}[./ -][0-9]{6}[./ -][0-9]{5}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])[0-9]{13,19}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.+(/-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,5}|1(?=[ .-][0-9]{3}[ .-])|[6-9][0-9]{1,2}(?=[ .-]))(?:[ ./-]?[0-9]{2,8}+){1,5}(?![0-9A-Za-z-])"),
 )
 _BEFORE, _AFTER = 24, 12
 #: Words near a candidate that speak for its kind, or against any.
@@ -81,6 +83,15 @@ def _holds(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _proposed(kind: str, found: Column) -> Column:
+    """Whether a generator's match can be of its kind at all."""
+    if kind == "phone":
+        return F.length(_digits(found)).between(7, 15)
+    if kind == "ip":
+        return F.length(found) > 3
+    return F.lit(True)
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start,rank,end,kind>> of the four patterns' checked matches."""
     checked = lambda kind: F.filter(matches(text, BASE[kind]), lambda s: _holds(kind, s["text"]))
@@ -147,20 +158,38 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             gap = r.choice(["", " "])
             at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), ("[at]", ".")])
             if true:
+                if r.random() < 0.25:
+                    at, dot = r.choice(["@", " @ "]), r.choice(["(dot)", "[dot]", " dot "])
                 found = f"{name}{gap if at[0] in '([' else ''}{at}{host}{dot}{r.choice(['com', 'org', 'net', 'io', 'edu'])}"
+                found = found.upper() if r.random() < 0.2 else found
             else:
                 found = f"{name} at {host}{r.choice(['. ', ' . ', '.'])}{end.title()}" + r.choice(["", ". " + syllables(2).title()])
         elif kind == "ip":
-            found = ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8)) if true else ":".join(number(2) for _ in range(r.choice([5, 6])))
+            groups = [f"{r.randrange(1 << 16):x}" for _ in range(8)]
+            if true and r.random() < 0.5:  # a run of zeros left out
+                lead_, rest = r.randrange(1, 5), r.randrange(0, 4)
+                groups = [r.choice(["2001:db8", "fe80", "2a02"]), *groups[1:lead_], *([""] if rest else ["", ""]), *[r.choice([g, "1"]) for g in groups[5 : 5 + rest]]]
+            found = ":".join(groups) if true else r.choice([":".join(number(2) for _ in range(r.choice([5, 6]))), f"{number(2)}::{number(2)}", f"{r.choice('abcdef')}::{r.choice('abcdef')}"])
         elif kind == "card":
             c = card()
             sep = r.choice("./")
-            found = sep.join(c[i : i + 4] for i in range(0, 16, 4)) if true else r.choice([number(16), number(13), sep.join(number(4) for _ in range(4))])
+            spaced = r.choice(" -")
+            mistyped = r.choice([spaced.join(number(4) for _ in range(4)), spaced.join(number(k) for k in (4, 6, 5))])
+            if r.random() < 0.25:  # digits that fail the check, so only the words around them tell
+                found = mistyped
+            else:
+                found = sep.join(c[i : i + 4] for i in range(0, 16, 4)) if true else r.choice([number(16), number(13), sep.join(number(4) for _ in range(4))])
         else:
             found = r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(number(3), number(3), number(4))
-        lead = r.choice(pro[kind]) if true and (kind == "phone" or r.random() < 0.7) else r.choice(contra) if not true and r.random() < 0.5 else r.choice(words)
+            if r.random() < 0.5:  # other countries' groups
+                gap = r.choice(" .-")
+                sizes = r.choice([(3, 4, 4), (2, 2, 2, 2, 2), (4, 2, 6), (4, 6), (3, 7), (5, 6), (1, 3, 3, 4), (2, 3, 2, 2), (3, 3, 3), (10,)])
+                groups = [number(k) for k in sizes]
+                groups[0] = ("1" if sizes[0] == 1 else r.choice("6789") if sizes == (2, 3, 2, 2) or sizes == (3, 3, 3) else "0") + groups[0][1:]
+                found = gap.join(groups)
+        lead = r.choice(pro[kind]) if true and (kind == "phone" or (kind == "card" and found == mistyped) or r.random() < 0.7) else r.choice(contra) if not true and r.random() < 0.5 else r.choice(words)
         after = r.choice(words)
-        if not true and kind == "phone" and re.search(CONTEXT["phone"], lead):
+        if not true and (kind == "phone" or (kind == "card" and found == mistyped)) and re.search(CONTEXT[kind], lead):
             continue
         rows.append(_features_of(rank, found, f"{lead} ", after))
         labels.append(true)
@@ -188,7 +217,7 @@ def candidates(text: Column) -> Column:
             score = let(F.struct(*[c.alias(n) for n, c in form.items()]), lambda f: scorer.column({n: f[n] for n in form}))
             return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
-        return F.transform(matches(text, pattern), one)
+        return F.transform(F.filter(matches(text, pattern), lambda s: _proposed(kind, s["text"])), one)
 
     return F.concat(*[scored(kind, pattern) for kind, pattern in GENERATORS])
 
