@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -23,14 +23,14 @@ class Split:
 
 @dataclass
 class Boosted:
-    """Log-odds are base + the sum of the trees; scale and shift calibrate them."""
+    """Log-odds are base + the sum of the trees; scale and shift calibrate them; each group has a threshold."""
 
     names: list[str]
     base: float
     trees: list[Leaf | Split]
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: dict[int, float] = field(default_factory=dict)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
@@ -41,6 +41,9 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.margin(x) + self.shift)))
 
+    def accepts(self, x: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        return self.probability(x) >= np.array([self.thresholds[int(g)] for g in groups])
+
     def column(self, features: dict[str, Column]) -> Column:
         """The calibrated probability, as nested CASE expressions over numeric columns."""
         total = F.lit(float(self.base))
@@ -81,11 +84,11 @@ def _grow(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, depth: int, c
     return Split(best[1], best[2], _grow(x[low], gradient[low], weight[low], depth - 1, cuts, rate), _grow(x[~low], gradient[~low], weight[~low], depth - 1, cuts, rate))
 
 
-def fit(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, most_cuts: int = 8) -> Boosted:
-    """Fit on the even rows, calibrate (Platt) and set the threshold on the odd ones.
+def fit(names: list[str], x: np.ndarray, y: np.ndarray, groups: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, most_cuts: int = 8) -> Boosted:
+    """Fit on the even rows, calibrate (Platt) and set each group's threshold on the odd ones.
 
-    The threshold is the least at which nine tenths of the accepted held-out
-    candidates are true, and never under one half.
+    A threshold is the least at which 95 of 100 accepted held-out candidates of
+    the group are true, and never under one half.
     """
     train, held = slice(0, None, 2), slice(1, None, 2)
     xt, yt = x[train], y[train].astype(float)
@@ -110,6 +113,8 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 24, depth:
         b += 0.5 * np.mean(yh - p)
     model.scale, model.shift = float(a), float(b)
     p = model.probability(x[held])
-    fit_at = [t for t in np.linspace(0.5, 0.95, 10) if (p >= t).any() and yh[p >= t].mean() >= 0.9]
-    model.threshold = float(min(fit_at, default=0.95))
+    for group in np.unique(groups):
+        own = groups[held] == group
+        sure = [t for t in np.linspace(0.5, 0.95, 10) if (own & (p >= t)).any() and yh[own & (p >= t)].mean() >= 0.95]
+        model.thresholds[int(group)] = float(min(sure, default=0.95))
     return model

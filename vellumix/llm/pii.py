@@ -5,10 +5,11 @@ further, overlapping spans: addresses spelled out ("name at host dot com"),
 national phone numbers, grouped or mistyped card numbers, IPv6 addresses also in
 short form.  Boosted
 trees over the candidate's form and the words around it give a calibrated
-probability; candidates at or over the threshold that overlap no base span and no
-likelier candidate become spans of their kind.  The trees are fitted on the driver
-on generated, labelled examples with a fixed seed, and applied as one SQL
-expression; no Python runs on executors.
+probability; candidates at or over their kind's threshold that overlap no base span
+and no likelier candidate become spans of their kind.  The trees are fitted on the
+driver on generated, labelled examples with a fixed seed, and applied as one SQL
+expression; no Python runs on executors.  Spans of one kind don't overlap each
+other, so what a candidate overlaps is found by halving, whatever their number.
 
 Nulls and ties: a null text has no spans and the digest of an empty list.  A row
 is judged by its text alone, so repeated rows get equal results.  Equal starts are
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumix.llm.boosting import Boosted, fit
-from vellumix.llm.spans import joined, labelled, let, matches
+from vellumix.llm.spans import all_matches, indexed, joined, labelled, let, meets, overlapping
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the contract's patterns; a run is entered at its first character or where the last match ended, so no text takes quadratic time.
@@ -37,21 +38,26 @@ BASE = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _GROUP = "[0-9A-Fa-f]{1,4}"
+_AT, _DOT = "[Aa][Tt]", "[Dd][Oo][Tt]"
+_LABEL = "[A-Za-z0-9-]"
 #: Generators: kind and a pattern that both Java and Python read alike.
 GENERATORS = (
-    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{2,63}){1,4}| ?@ ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4})"),
+    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?: ?(?:\({_AT}\)|\[{_AT}\]| {_AT} ) ?{_LABEL}{{1,63}}(?: ?(?:\({_DOT}\)|\[{_DOT}\]| {_DOT} |\.) ?{_LABEL}{{2,63}}){{1,4}}| ?@ ?{_LABEL}{{1,63}}(?:\.{_LABEL}{{1,63}}){{0,3}}(?: ?(?:\({_DOT}\)|\[{_DOT}\]| {_DOT} ) ?{_LABEL}{{2,63}}){{1,4}})"),
     ("ip", rf"(?<![0-9A-Za-z:])(?:(?:{_GROUP}:){{4,7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])"),
     ("card", r"(?<![0-9A-Za-z.])[0-9]{4}(?:[./ -][0-9]{4}){2}[./ -][0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{4}[./ -][0-9]{6}[./ -][0-9]{5}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])[0-9]{13,19}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.+(/-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,5}|1(?=[ .-][0-9]{3}[ .-])|[6-9][0-9]{1,2}(?=[ .-]))(?:[ ./-]?[0-9]{2,8}+){1,5}(?![0-9A-Za-z-])"),
 )
+#: What a text must hold for a kind's base pattern or generator to match at all.
+_GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
+_WIDE_GUARD = {"email": rf"@|[ (\[]{_AT}[ )\]]", "ip": "::|:[0-9A-Fa-f]{1,4}:", "card": "[0-9]{4}", "phone": "[0-9]{2}"}
 _BEFORE, _AFTER = 24, 12
 #: Words near a candidate that speak for its kind, or against any.
 CONTEXT = {
-    "email": "mail|contact|write|reach|address",
+    "email": "mail|contact|write|reach|address|courriel|correo|schreib",
     "ip": "ip|host|server|addr|ping|connect",
-    "card": "card|visa|credit|master|debit|pay|cc",
-    "phone": "phone|call|tel|mobile|fax|cell|contact|dial",
-    "against": "order|invoice|item|ref|isbn|part|serial|version|ticket|code|no\\.|sku|id",
+    "card": "card|visa|credit|master|debit|pay|cc|carte|karte|tarjeta",
+    "phone": "phone|call|tel|mobile|fax|cell|contact|dial|ruf|appel|llam",
+    "against": "order|invoice|item|ref|isbn|part|serial|version|ticket|code|no\\.|sku|id|commande|bestell|pedido",
 }
 _SPELLED = r"[(\[](?:at|dot)[)\]]| dot "
 FEATURES = ["rank", "length", "digits", "distinct_digits", "separators", "luhn", "brackets", "spelled", "for_kind", "against"]
@@ -92,16 +98,22 @@ def _proposed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _base(text: Column) -> Column:
+    """For each kind, array<struct<start,rank,end,kind>> of its pattern's checked matches."""
+
+    def checked(found: Column) -> Column:
+        of = lambda i, kind: labelled(F.filter(F.get(found, F.lit(i)), lambda s: _holds(kind, s["text"])), kind, i)
+        return F.array(*[of(i, kind) for i, kind in enumerate(KINDS)])
+
+    return let(all_matches(text, [(BASE[k], text.rlike(_GUARD[k])) for k in KINDS]), checked)
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start,rank,end,kind>> of the four patterns' checked matches."""
-    checked = lambda kind: F.filter(matches(text, BASE[kind]), lambda s: _holds(kind, s["text"]))
-    found = [labelled(checked(kind), kind, i) for i, kind in enumerate(KINDS)]
-    return F.array_sort(F.concat(*found))
+    return F.array_sort(F.flatten(_base(text)))
 
 
-def _features(rank: Column, found: Column, before: Column, after: Column) -> dict[str, Column]:
-    digits = _digits(found)
-    near = F.lower(F.concat(before, F.lit(" "), after))
+def _features(rank: Column, found: Column, digits: Column, near: Column) -> dict[str, Column]:
     own = F.lit(0)
     for i, k in enumerate(KINDS):
         own = F.when(rank == i, near.rlike(CONTEXT[k]).cast("int")).otherwise(own)
@@ -132,11 +144,11 @@ def _features_of(rank: int, found: str, before: str, after: str) -> list[float]:
 
 
 def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated candidates of each kind, true and false, with words around them."""
+    """Generated candidates of each kind, true and false, with words around them in four languages."""
     r = random.Random(seed)
-    words = "the of and when near over under about since part plain house river".split()
-    pro = {"email": ["mail", "contact", "write to", "reach"], "ip": ["server", "host", "ping"], "card": ["card", "visa", "pay by"], "phone": ["phone", "call", "tel", "fax"]}
-    contra = ["order", "invoice", "item", "ref", "serial", "ticket", "code"]
+    words = "the of and when near over under about since part plain house river der und mit auf le de la une pour el los una con".split()
+    pro = {"email": ["mail", "contact", "write to", "reach", "courriel", "correo", "schreiben an"], "ip": ["server", "host", "ping", "serveur"], "card": ["card", "visa", "pay by", "carte", "Karte", "tarjeta"], "phone": ["phone", "call", "tel", "fax", "rufen", "appeler", "llame al"]}
+    contra = ["order", "invoice", "item", "ref", "serial", "ticket", "code", "commande", "Bestellung", "pedido"]
     number = lambda k: "".join(r.choice("0123456789") for _ in range(k))
 
     def syllables(k: int) -> str:
@@ -178,7 +190,8 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             if r.random() < 0.25:  # digits that fail the check, so only the words around them tell
                 found = mistyped
             else:
-                found = sep.join(c[i : i + 4] for i in range(0, 16, 4)) if true else r.choice([number(16), number(13), sep.join(number(4) for _ in range(4))])
+                whole = r.random() < 0.4  # beside another number, so the exact pattern reads both as one
+                found = c if true and whole else sep.join(c[i : i + 4] for i in range(0, 16, 4)) if true else r.choice([number(16), number(13), sep.join(number(4) for _ in range(4))])
         else:
             found = r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(number(3), number(3), number(4))
             if r.random() < 0.5:  # other countries' groups
@@ -198,51 +211,58 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def model() -> Boosted:
-    x, y = _examples(1600, 11)
-    return fit(FEATURES, x, y)
+    x, y = _examples(2400, 11)
+    return fit(FEATURES, x, y, groups=x[:, 0])
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start,rank,end,kind,score>> of every generator's proposals."""
+    """For each kind, array<struct<start,rank,end,kind,score>> of its generator's proposals."""
     scorer = model()
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def one(s: Column) -> Column:
+        near = F.lower(F.concat(s["before"], F.lit(" "), s["after"]))
 
-    def scored(kind: str, pattern: str) -> Column:
-        rank = KINDS.index(kind)
+        def form(own: Column) -> Column:
+            return F.struct(*[c.alias(n) for n, c in _features(s["rank"], s["text"], own["digits"], own["near"]).items()])
 
-        def one(s: Column) -> Column:
-            lead = F.least(s["start"], F.lit(_BEFORE))
-            before = F.substring(text, s["start"] - lead + 1, lead)
-            after = F.substring(text, s["end"] + 1, F.lit(_AFTER))
-            form = _features(F.lit(rank), s["text"], before, after)
-            score = let(F.struct(*[c.alias(n) for n, c in form.items()]), lambda f: scorer.column({n: f[n] for n in form}))
-            return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+        seen = F.struct(_digits(s["text"]).alias("digits"), near.alias("near"))
+        score = let(let(seen, form), lambda f: scorer.column({n: f[n] for n in FEATURES}))
+        return F.struct(s["start"], s["rank"], s["end"], F.get(names, s["rank"]).alias("kind"), score.alias("score"))
 
-        return F.transform(F.filter(matches(text, pattern), lambda s: _proposed(kind, s["text"])), one)
+    def scored(found: Column) -> Column:
+        able = lambda i, kind: F.filter(F.get(found, F.lit(i)), lambda s: _proposed(kind, s["text"]))
+        named = lambda i, kind: F.transform(able(i, kind), lambda s: F.struct(s["start"], F.lit(i).alias("rank"), s["end"], s["text"], s["before"], s["after"]))
+        return F.transform(F.array(*[named(i, kind) for i, kind in enumerate(KINDS)]), lambda spans: F.transform(spans, one))
 
-    return F.concat(*[scored(kind, pattern) for kind, pattern in GENERATORS])
+    return let(all_matches(text, [(pattern, text.rlike(_WIDE_GUARD[kind])) for kind, pattern in GENERATORS], (_BEFORE, _AFTER)), scored)
 
 
 def _chosen(base: Column, proposed: Column) -> Column:
-    """Proposals at or over the threshold, clear of base spans and of better proposals."""
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    """Proposals at or over their kind's threshold, clear of base spans and of better proposals."""
+    limits = F.array(*[F.lit(model().thresholds[i]) for i in range(len(KINDS))])
+    before = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["rank"], a["end"]) < F.struct(b["start"], b["rank"], b["end"])))
+
+    def clear(known: Column) -> Column:
+        return F.transform(proposed, lambda spans: F.filter(spans, lambda s: (s["score"] >= F.get(limits, s["rank"])) & ~meets(known, s)))
 
-    def settle(fit_ones: Column) -> Column:
-        better = lambda s, o: overlap(s, o) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (F.struct(o["start"], o["rank"], o["end"]) < F.struct(s["start"], s["rank"], s["end"]))))
-        return F.filter(fit_ones, lambda s: ~F.exists(fit_ones, lambda o: better(s, o)))
+    def settle(likely: Column) -> Column:
+        best = lambda index: F.flatten(F.transform(likely, lambda spans: F.filter(spans, lambda s: ~F.exists(index, lambda i: F.exists(overlapping(i, s), lambda o: before(o, s))))))
+        return F.transform(let(indexed(likely), best), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
 
-    kept = F.filter(proposed, lambda s: (s["score"] >= model().threshold) & ~F.exists(base, lambda b: overlap(s, b)))
-    return F.transform(let(kept, settle), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
+    return let(let(indexed(base), clear), settle)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and all spans (arrays of start, rank, end, kind; code points), a row for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
 
     def both(base: Column) -> Column:
-        some = let(candidates(text), lambda proposed: F.when(F.size(proposed) > 0, _chosen(base, proposed)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
-        return F.struct(base.alias("base"), F.array_sort(F.concat(base, some)).alias("spans"))
+        some = let(candidates(text), lambda proposed: F.when(F.size(F.flatten(proposed)) > 0, _chosen(base, proposed)).otherwise(none))
+        return F.struct(F.array_sort(F.flatten(base)).alias("base"), F.array_sort(F.concat(F.flatten(base), some)).alias("spans"))
 
-    return docs.select("doc_id", let(base_spans(text), both).alias("s")).select("doc_id", "s.base", "s.spans")
+    return docs.select("doc_id", let(_base(text), both).alias("s")).select("doc_id", "s.base", "s.spans")
 
 
 def redact(text: Column, spans: Column) -> Column:

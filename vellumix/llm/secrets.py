@@ -1,10 +1,12 @@
 """Secrets in whole texts: exact patterns, and candidates judged by who else holds them.
 
-Base spans come from three patterns.  Wider generators propose values that look
-like credentials.  The hash of every candidate's value is counted over the whole
-corpus by distinct repositories and distinct owners: a value that many owners hold,
-or one owner in many repositories, is an example copied from documentation; one
-that few hold and that has the look of a live key becomes a span of kind "live".  Only JVM expressions are used.
+Base spans come from three patterns.  Candidates are the values in base spans and
+what wider generators propose beside them.  The hash of every candidate's value is
+counted over the whole corpus by distinct repositories and distinct owners: a value
+that many owners hold, or one owner in many repositories, is an example copied from
+documentation; one that few hold and that has the look of a live key becomes a span
+of kind "live".  Only JVM expressions are used.  Matches of one pattern don't
+overlap each other, so what a candidate overlaps is found by halving.
 
 Counts are pre-aggregated by (value, owner, repository) before each shuffle.  A
 widely copied value has many rows in the join that follows; it reads two written
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellumix.llm.scratch import Scratch
-from vellumix.llm.spans import joined, labelled, let, matches
+from vellumix.llm.spans import all_matches, indexed, joined, labelled, let, meets
 
 KINDS = ("assign", "access", "hex")
 BASE = {
@@ -39,6 +41,9 @@ GENERATORS = (
     r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9_.-]{1,64}:[^\x20\x09-\x0D@/]{6,64}@",
     r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])",
 )
+#: What a text must hold for a pattern to match at all.
+_GUARD = {"assign": "[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}"}
+_WIDE_GUARD = ("-----BEGIN", r"[A-Za-z0-9_.-]{18}", r"eyJ", r"://", r"[A-Za-z0-9+/_-]{32}")
 _ADDRESS = r"^[a-z][a-z0-9+.-]*://[^:/]*:(.*)@$"
 #: A private key of a shorter body is only a header: it has no value to compare, so each document's is its own.
 LEAST_BODY = 16
@@ -53,16 +58,21 @@ def _ranked(spans: Column, rank: int) -> Column:
 
 
 def _base(text: Column) -> Column:
-    """array<struct<start,end,text,rank>> of the three patterns' checked matches."""
-    found = []
-    for i, kind in enumerate(KINDS):
-        spans = matches(text, BASE[kind])
-        if kind == "assign":
-            spans = F.filter(spans, lambda s: F.length(F.regexp_replace(s["text"], _NAME_PART, "")) >= 6)
-        if kind == "access":
-            spans = F.filter(spans, lambda s: F.length(s["text"]) >= 20)
-        found.append(_ranked(spans, i))
-    return F.concat(*found)
+    """For each kind, array<struct<start,end,text,rank>> of its pattern's checked matches."""
+
+    def checked(found: Column) -> Column:
+        assign, access, hex_ = (F.get(found, F.lit(i)) for i in range(len(KINDS)))
+        assign = F.filter(assign, lambda s: F.length(F.regexp_replace(s["text"], _NAME_PART, "")) >= 6)
+        access = F.filter(access, lambda s: F.length(s["text"]) >= 20)
+        return F.array(*[_ranked(spans, i) for i, spans in enumerate((assign, access, hex_))])
+
+    return let(all_matches(text, [(BASE[k], text.rlike(_GUARD[k])) for k in KINDS]), checked)
+
+
+def _value(s: Column) -> Column:
+    """A base span's value: an assignment without the name before it."""
+    value = F.regexp_replace(s["text"], _NAME_PART, "")
+    return F.struct((s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), value.alias("text"), s["rank"].alias("rank"))
 
 
 def _live_looking(value: Column) -> Column:
@@ -70,9 +80,10 @@ def _live_looking(value: Column) -> Column:
     address = value.rlike(_ADDRESS)
     part = F.when(address, F.regexp_extract(value, _ADDRESS, 1)).otherwise(value)
     kinds = value.rlike("[a-z]").cast("int") + value.rlike("[A-Z]").cast("int") + value.rlike("[0-9]").cast("int")
-    varied = F.size(F.array_distinct(F.split(part, ""))) * 2.5 >= F.least(F.length(part), F.lit(40))
+    varied = F.size(F.array_distinct(F.split(part, ""))) * 2.5 >= F.least(F.length(part), F.when(part.rlike("^[0-9a-f]+$"), 24).otherwise(40))
     plain = ~part.rlike(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|1234567|abcdef|(.)\1{4}")
-    return value.startswith("-----BEGIN") | ((address | (kinds >= 3)) & varied & plain)
+    hexadecimal = value.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{64})$") & (kinds >= 2)
+    return value.startswith("-----BEGIN") | ((address | hexadecimal | (kinds >= 3)) & varied & plain)
 
 
 def _key(value: Column, holder: Column) -> Column:
@@ -83,24 +94,33 @@ def _key(value: Column, holder: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", many_owners: int = MANY_OWNERS, many_repositories: int = MANY_REPOSITORIES) -> DataFrame:
-    """doc_id, base and all spans, and how many spans hold values that are widely copied.
+    """doc_id, base and all spans, and at how many places there are values that are widely copied.
 
     spans: array of struct(start, rank, end, kind), ends exclusive, in code points.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-    def proposals(base: Column) -> Column:
-        wide = F.concat(*[_ranked(matches(text, p), i) for i, p in enumerate(GENERATORS)])
+    def free(lists: Column, index: Column) -> Column:
+        """Each list without spans that meet one of an earlier list, flattened."""
+        return F.flatten(F.transform(lists, lambda spans, i: F.filter(spans, lambda s: ~meets(F.slice(index, F.lit(1), i), s))))
+
+    def judge(base: Column) -> Column:
+        found = all_matches(text, [(p, text.rlike(g)) for p, g in zip(GENERATORS, _WIDE_GUARD)])
+        wide = F.transform(found, lambda spans, i: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["text"], i.alias("rank"))))
 
-        def clear(all_: Column) -> Column:
-            own = lambda s: ~F.exists(base, lambda b: overlap(s, b)) & ~F.exists(all_, lambda o: overlap(s, o) & (o["rank"] < s["rank"])) & _live_looking(s["text"])
-            return F.filter(all_, own)
+        def clear(lists: Column) -> Column:
+            beside = F.filter(let(indexed(lists), lambda index: free(lists, index)), lambda s: ~s["own"])
+            # a value that two kinds read alike counts once
+            values = F.transform(let(indexed(base), lambda index: free(base, index)), _value)
+            return F.filter(F.concat(F.transform(beside, lambda s: F.struct(s["start"], s["end"], s["text"], s["rank"])), values), lambda s: _live_looking(s["text"]))
 
-        return F.struct(base.alias("base"), let(wide, clear).alias("wide"))
+        marked = lambda lists, own: F.transform(lists, lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["text"], s["rank"], F.lit(own).alias("own"))))
+        some = let(F.concat(marked(base, True), marked(wide, False)), lambda lists: F.when(F.size(F.flatten(lists)) > 0, clear(lists)))
+        none = F.array().cast("array<struct<start:int,end:int,text:string,rank:int>>")
+        return F.struct(F.flatten(base).alias("base"), F.coalesce(some, none).alias("wide"))
 
-    named = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.xxhash64("text").alias("h"), let(_base(text), proposals).alias("s"))
+    named = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.xxhash64("text").alias("h"), let(_base(text), judge).alias("s"))
     holder = F.to_json(F.struct("owner", "repository", "doc_id"))
     keyed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["rank"], _key(s["text"], holder).alias("key")))
     found = scratch.put(named.select("doc_id", "owner", "repository", "h", keyed(F.col("s.base")).alias("base"), keyed(F.col("s.wide")).alias("wide")), "found")
@@ -119,7 +139,8 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     of = lambda rank: F.filter("base", lambda s: s["rank"] == rank)
     base = F.array_sort(F.concat(*[labelled(of(i), kind, i) for i, kind in enumerate(KINDS)]))
     live = labelled(F.filter("wide", lambda s: ~F.array_contains(copied, s["key"])), "live", len(KINDS))
-    n_copied = F.size(F.filter(F.concat("base", "wide"), lambda s: F.array_contains(copied, s["key"]))).cast("long")
+    places = F.array_distinct(F.transform(F.filter(F.concat("base", "wide"), lambda s: F.array_contains(copied, s["key"])), lambda s: s["end"]))
+    n_copied = F.size(places).cast("long")
     return out.select("doc_id", base.alias("base"), F.array_sort(F.concat(base, live)).alias("spans"), n_copied.alias("n_copied"))
 
 

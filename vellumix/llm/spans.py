@@ -8,7 +8,7 @@ matches stays far from quadratic.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -27,10 +27,15 @@ def _running(lens: Column, offs: Column, step: Column, i: Column) -> Column:
     return F.element_at(offs, whole + 1) + _sum(F.slice(lens, whole * step + 1, i - whole * step))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,text>> of the leftmost non-overlapping matches; the pattern matches no empty text."""
-    p = F.lit(pattern)
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+def all_matches(text: Column, patterns: Sequence[tuple[str, Column | None]], around: tuple[int, int] = (0, 0)) -> Column:
+    """For each (pattern, guard), array<struct<start,end,text,before,after>> of its leftmost non-overlapping matches.
+
+    No pattern matches the empty text; a guard is a cheap condition without which
+    there is no match.  before and after hold as many characters as `around` tells,
+    but reach no further than the match after the neighbouring one.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
+    lead, trail = around
 
     def place(found: Column, pieces: Column) -> Column:
         n = F.size(found)
@@ -44,7 +49,10 @@ def matches(text: Column, pattern: str) -> Column:
             def with_offs(offs: Column) -> Column:
                 def one(found_i: Column, i: Column) -> Column:
                     start = _running(lens, offs, step, i) + F.length(F.element_at(pieces, i + 1))
-                    return F.struct(start.alias("start"), (start + F.length(found_i)).alias("end"), found_i.alias("text"))
+                    near = lambda xs, k: F.coalesce(F.get(xs, k), F.lit(""))
+                    before = F.right(F.concat(F.right(near(pieces, i - 1), F.lit(lead)), near(found, i - 1), near(pieces, i)), F.lit(lead)) if lead else F.lit("")
+                    after = F.left(F.concat(near(pieces, i + 1), near(found, i + 1), F.left(near(pieces, i + 2), F.lit(trail))), F.lit(trail)) if trail else F.lit("")
+                    return F.struct(start.alias("start"), (start + F.length(found_i)).alias("end"), found_i.alias("text"), before.alias("before"), after.alias("after"))
 
                 return F.transform(found, one)
 
@@ -52,10 +60,47 @@ def matches(text: Column, pattern: str) -> Column:
 
         return let(lens, with_lens)
 
-    def all_of(found: Column) -> Column:
-        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda pieces: place(found, pieces))).otherwise(none)
+    def raw(pattern: str, guard: Column | None) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        if guard is not None:
+            found = F.when(guard, found).otherwise(F.array().cast("array<string>"))
+        return let(found, lambda found: F.struct(found.alias("found"), F.when(F.size(found) > 0, F.split(text, pattern, -1)).alias("pieces")))
+
+    each = F.array(*[raw(pattern, guard) for pattern, guard in patterns])
+    return F.transform(each, lambda m: F.when(F.size(m["found"]) > 0, place(m["found"], m["pieces"])).otherwise(none))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,text>> of one pattern's leftmost non-overlapping matches."""
+    return F.transform(F.element_at(all_matches(text, [(pattern, None)]), 1), lambda s: F.struct(s["start"], s["end"], s["text"]))
+
+
+def _below(keys: Column, bound: Column) -> Column:
+    """How many entries of an ascending array of numbers are under a bound, by halving."""
+    n = F.size(keys)
+    steps = F.sequence(F.length(F.bin(n.cast("long"))) - 1, F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        after = at + F.pow(F.lit(2.0), k).cast("int")
+        return F.when((after <= n) & (F.element_at(keys, F.least(after, n)) < bound), after).otherwise(at)
+
+    return F.when(n > 0, F.aggregate(steps, F.lit(0), step)).otherwise(F.lit(0))
+
+
+def indexed(lists: Column) -> Column:
+    """An array of lists of spans, each sorted and free of overlaps within itself, with starts and ends, for overlapping()."""
+    return F.transform(lists, lambda s: F.struct(s.alias("spans"), F.transform(s, lambda x: x["start"]).alias("starts"), F.transform(s, lambda x: x["end"]).alias("ends")))
+
+
+def overlapping(index: Column, span: Column) -> Column:
+    """The spans of one list of indexed() that a span overlaps, found by halving."""
+    cut = lambda ended: F.slice(index["spans"], ended + 1, F.greatest(_below(index["starts"], span["end"]) - ended, F.lit(0)))
+    return let(_below(index["ends"], span["start"] + 1), cut)
+
 
-    return let(F.regexp_extract_all(text, p, F.lit(0)), all_of)
+def meets(indexes: Column, span: Column) -> Column:
+    """Whether a span overlaps any span of any list."""
+    return F.exists(indexes, lambda i: F.size(overlapping(i, span)) > 0)
 
 
 def joined(spans: Column) -> Column:
