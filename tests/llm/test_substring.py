@@ -54,15 +54,34 @@ def test_small_chunks_and_buckets_agree(spark, monkeypatch):
     monkeypatch.setattr(substring, "BUCKET_WINDOWS", 1)
     monkeypatch.setattr(substring, "GROUP_TEXT", 50)
     check(spark, texts, list(range(12)), 5)
+    monkeypatch.setattr(substring, "FAN", 4)
+    assert substring.passes(7) == [2, 2, 2, 1]
+    check(spark, texts, list(range(12)), 5)
+
+
+def test_equal_hashes_with_unequal_tags():
+    hashes, tags = np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 1, 2], np.uint64)
+    repeat, chosen = substring.later(hashes, tags, np.array([1, 2, 3, 4]), np.zeros(4, int))
+    assert repeat.tolist() == [False, False, True, True] and chosen.tolist() == [True, True, False, False]
+
+
+def test_ids_of_other_kinds_and_the_least_number(spark):
+    passage = prose(31, 40)
+    texts = [f"{passage} z", f"{passage} a", passage, None]
+    rows = spark.createDataFrame(list(zip(["b", "a", None, "c"], texts)), "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(rows).collect()}
+    assert got == {None: 0, "a": 40, "b": 40, "c": 0}
+    check(spark, [passage, passage, passage], [-(1 << 63), None, 7])
 
 
 def test_packing_round_trip():
     docs = np.array([9, 9, 9, -4, 7, 7], np.int64)
     variants = np.array([0, 0, 1, 0, 0, 0], np.int32)
     starts = np.array([3, 900_000, 2, 0, 5, 6])
-    hashes = np.arange(6, dtype=np.uint64) * np.uint64(0x0102030405060708) & np.uint64((1 << 56) - 1)
-    d, v, s, h = substring.unpack(substring.pack(docs, variants, starts, hashes))
-    assert (d == docs).all() and (v == variants).all() and (s == starts).all() and (h == hashes).all()
+    hashes = np.arange(6, dtype=np.uint64) * np.uint64(0xF102030405060708)
+    d, v, s, h, t = substring.unpack(substring.pack(docs, variants, starts, hashes, hashes[::-1].copy()))
+    assert (d == docs).all() and (v == variants).all() and (s == starts).all() and (h == hashes).all() and (t == hashes[::-1]).all()
+    assert not substring.unpack(substring.pack(docs, variants, starts, None))[3].any()
 
 
 def test_intervals():

@@ -16,7 +16,7 @@ import pyarrow as pa
 GROUP_BYTES = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = _U(0xD1342543DE82EF95)
+_WORD_BASE, _OTHER_BASE = _U(0xD1342543DE82EF95), _U(0xC6A4A7935BD1E995)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ class _Powers:
         return self.up, self.down
 
 
-_bytes_powers, _word_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+_bytes_powers, _word_powers, _other_powers = _Powers(_BASE), _Powers(_WORD_BASE), _Powers(_OTHER_BASE)
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +146,17 @@ def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def rolling(words: np.ndarray, width: int) -> np.ndarray:
+def other_rolling(words: np.ndarray, width: int) -> np.ndarray:
+    """A second hash of every run, over another base."""
+    return rolling(words, width, _other_powers)
+
+
+def rolling(words: np.ndarray, width: int, powers: _Powers = _word_powers) -> np.ndarray:
     """Rabin-Karp hash of every run of `width` words, documents' ends ignored."""
     n = len(words)
     if n < width:
         return np.zeros(0, _U)
-    up, down = _word_powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.empty(n + 1, _U)
     sums[0] = 0
     np.cumsum(words * up[:n], out=sums[1:])
