@@ -1,7 +1,9 @@
 import itertools
 
+import numpy as np
+
 from tests.llm.helpers import edited, frame, prose, words
-from vellumix.llm import neardup
+from vellumix.llm import neardup, setsketch
 from vellumix.llm.components import components, near_labels
 from vellumix.llm.scratch import Scratch
 
@@ -57,6 +59,28 @@ def test_hot_group_in_blocks(spark, monkeypatch):
     check(spark, texts, list(range(100, 150)))
 
 
+def test_very_long_texts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 3000)
+    base = prose(41, 4000)
+    texts = [edited(base, i, 40 * i) for i in range(7)] + [prose(60 + i, 900) for i in range(3)]
+    check(spark, texts, list(range(len(texts))))
+
+
+def test_estimate_keeps_true_pairs():
+    r = np.random.default_rng(3)
+    n, x, y = 2000, [], []
+    for _ in range(400):
+        pool = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        x.append(np.unique(pool[: n - 160]))
+        y.append(np.unique(pool[160:]))
+    m = neardup.BANDS * neardup.ROWS
+    sketch = lambda sets: setsketch.registers(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]]), m)
+    size = np.full(400, n - 160)
+    estimate = setsketch.joint_similarity(sketch(x), sketch(y), size, size)
+    true = (n - 320) / n
+    assert abs(estimate.mean() - true) < 0.02 and estimate.min() > true - neardup.SLACK + 0.1
+
+
 def test_missing_shared_ids_and_repeats(spark):
     a, b = prose(6, 50), prose(7, 50)
     check(spark, [a, a, b, b, a], [None, 4, None, None, 4])

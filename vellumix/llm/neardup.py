@@ -4,10 +4,12 @@ Every text becomes the set of hashes of its word shingles.  Equal sets form one
 class, so thousands of copies weigh as much as one.  Bands of register values put
 likely pairs of classes into buckets; each bucket's members are compared with one
 member of it (another in every band), first by the joint likelihood of the two
-sketches, then on the full sets.  Buckets whose members are not all connected by
-then are compared block against block on full sets, without writing out pairs, so
-no link is lost to the short cut.  What remains is the chance that a pair shares
-no band: (1 - s**rows) ** bands, 1e-8 for s = 0.85 and 6e-7 for s = 0.80.
+sketches, then on the full sets.  Buckets of three or more whose members are not all
+connected by then are compared block against block on full sets, without writing
+out pairs.  Blocks are bounded by members and by shingles, and hold sorted hashes
+instead of texts.  What remains is the chance that a pair shares no band,
+(1 - s**rows) ** bands, 1e-8 for s = 0.85 and 6e-7 for s = 0.80, and that the
+estimate of a true pair falls short by SLACK, under 1e-10 by the binomial tail.
 
 Nulls and ties: a null or wordless text has an empty set and is linked with
 nothing.  A row without doc_id takes part like any other; its own component_id is
@@ -31,9 +33,10 @@ from vellumix.llm.tokens import shingle_sets
 from vellumix.session import ship
 
 BANDS, ROWS = 20, 3
-BLOCK = 512
-#: A sketch of 60 registers errs by less than 0.05 in one of three cases; five times that is kept for the exact test.
-SLACK = 0.25
+#: Members, and shingles on average, of a block; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: A sketch of 60 registers errs by less than 0.05 in one of three cases; eight times that is kept for the exact test.
+SLACK = 0.4
 _CELLS = 1 << 22
 #: Up to this many classes whose texts are wanted (a digest and a key, 40 bytes each) are broadcast to the scan; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -105,25 +108,31 @@ def _likely(num: int, den: int):
     return run
 
 
-def _true_texts(width: int):
-    """Rows whose text has the wanted digest: rows may share a doc_id."""
+def _true_sets(width: int):
+    """(digest, sorted hashes as bytes) of rows whose set has the wanted digest: rows may share a doc_id."""
 
     def run(batches):
         for batch in batches:
             wanted = batch.column("digest").to_pylist()
-            keep = [digest_of(s) == wanted[i] for i, s in shingle_sets(batch.column("text"), width)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            held: tuple[list, list] = ([], [])
+            for i, shingles in shingle_sets(batch.column("text"), width):
+                if digest_of(shingles) == wanted[i]:
+                    held[0].append(wanted[i])
+                    held[1].append(shingles.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in held], ["digest", "shingles"])
 
     return run
 
 
-def _confirm(width: int, num: int, den: int):
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _confirm(num: int, den: int):
     def run(batches):
         for batch in batches:
-            left = [s for _, s in shingle_sets(batch.column("text_a"), width)]
-            right = [s for _, s in shingle_sets(batch.column("text_b"), width)]
             keep = []
-            for x, y in zip(left, right):
+            for x, y in zip(_sets(batch.column("set_a")), _sets(batch.column("set_b"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -152,14 +161,14 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def _blocks(width: int, num: int, den: int):
+def _blocks(num: int, den: int):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         digests, labels = table.column("digest").to_pylist(), table.column("label").to_pylist()
         if len(set(labels)) < 2:
             return schema.empty_table()
-        sets = [s for _, s in shingle_sets(table.column("text"), width)]
+        sets = _sets(table.column("shingles"))
         sizes = np.array([len(s) for s in sets])
         number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
         label = np.array([number[x] for x in labels])
@@ -201,18 +210,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(members.where("n > 2").select("digest")).distinct()
     wanted = scratch.put(wanted.join(classes.select("digest", "place"), "digest"), "wanted")
     few = F.broadcast(wanted) if bounded(wanted, BROADCAST_ROWS) else wanted
-    texts = placed(docs).join(few, "place").select("digest", "text").mapInArrow(_true_texts(width), "digest binary, text string")
-    texts = scratch.put(texts, "texts")
-    edges = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    edges = scratch.put(edges.mapInArrow(_confirm(width, num, den), "a binary, b binary"), "confirmed")
+    sets = placed(docs).join(few, "place").select("digest", "text").mapInArrow(_true_sets(width), "digest binary, shingles binary")
+    sets = scratch.put(sets, "sets")
+    edges = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b")), "b")
+    edges = scratch.put(edges.mapInArrow(_confirm(num, den), "a binary, b binary"), "confirmed")
     labels = near_labels(edges, scratch)
-    rest = _unsettled(labels, members, texts, width, num, den, scratch)
+    rest = _unsettled(labels, members, sets, num, den, scratch)
     found = _joined_up(edges.union(rest), labels, scratch)
     roots = classes.select("digest", "first_id").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     roots = scratch.put(roots, "roots")
     least = scratch.put(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = scratch.put(roots.join(least, "root").select("digest", "component_id"), "named")
-    scratch.drop(classes, buckets, members, pairs, wanted, texts, edges, rest, roots, least)
+    scratch.drop(classes, buckets, members, pairs, wanted, sets, edges, rest, roots, least)
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -222,9 +231,9 @@ def _buckets(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     """Bands shared by two classes or more, with one class of each as its center, and their members."""
     wide = 2 * ROWS
     keys = F.array(*[F.expr(f"substring(sketch, {1 + wide * i}, {wide})") for i in range(BANDS)])
-    bands = classes.select("digest", F.posexplode(keys).alias("band", "key"))
+    bands = classes.select("digest", F.col("n").alias("size"), F.posexplode(keys).alias("band", "key"))
     first = F.min(F.struct(F.xxhash64("band", "digest").alias("h"), "digest"))
-    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("n"), first.alias("c")).where("n > 1").select("band", "key", "n", F.col("c.digest").alias("center"))
+    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), first.alias("c")).where("n > 1").select("band", "key", "n", "weight", F.col("c.digest").alias("center"))
     buckets = scratch.put(buckets, "buckets")
     return buckets, scratch.put(bands.join(buckets, ["band", "key"]), "members")
 
@@ -254,18 +263,18 @@ def _joined_up(edges: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
     return over.union(found.join(labels.select("node"), "node", "left_anti"))
 
 
-def _unsettled(found: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _unsettled(found: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Links between components that share a bucket, by comparing its blocks of members on full sets."""
-    labels = members.where("n > 2").select("band", "key", "n", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
+    labels = members.where("n > 2").select("band", "key", "n", "weight", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
     labels = scratch.put(labels.withColumn("label", F.coalesce("root", "digest")).drop("root"), "labels")
     split = labels.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band", "key")
     split = scratch.put(split, "split")
-    open_ = labels.join(split, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    open_ = labels.join(split, ["band", "key"]).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int"))
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     open_ = open_.select("band", "key", "label", "digest", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     open_ = scratch.put(open_, "open")
-    tasks = open_.join(texts, "digest").select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "label", "digest", "text")
-    links = tasks.groupBy("band", "key", "i", "j").applyInArrow(_blocks(width, num, den), "a binary, b binary")
+    tasks = open_.join(sets, "digest").select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "label", "digest", "shingles")
+    links = tasks.groupBy("band", "key", "i", "j").applyInArrow(_blocks(num, den), "a binary, b binary")
     links = scratch.put(links.distinct(), "links")
     scratch.drop(labels, split, open_)
     return links
