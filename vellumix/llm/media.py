@@ -3,8 +3,9 @@
 A payload's bytes become the samples of an 8-bit grey image of fixed width.  The
 image is written as PNG (signature, IHDR, IDAT and IEND chunks with checksums,
 rows filtered, zlib) and read back with every checksum tested and the filters
-undone in numpy.  The feature is a difference hash of the low frequencies of the
-discrete cosine transform of the shrunken image.
+undone in numpy.  The feature tells which of the 8 by 8 lowest frequencies of the
+discrete cosine transform of the shrunken image exceed their median, the mean left
+out.
 
 Nulls and ties: a null text counts as empty; its payload is one row of padding.
 Equal payloads give equal bytes and features, so repeated rows get equal results.
@@ -138,7 +139,7 @@ def decode_png(png: bytes) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _cosines() -> np.ndarray:
-    k, n = np.arange(_LOW + 1)[:, None], np.arange(_SIDE)[None, :]
+    k, n = np.arange(_LOW)[:, None], np.arange(_SIDE)[None, :]
     return np.cos(np.pi * k * (2 * n + 1) / (2 * _SIDE))
 
 
@@ -151,10 +152,12 @@ def _shrink(values: np.ndarray, side: int) -> np.ndarray:
 
 
 def cosine_hash(pixels: np.ndarray) -> bytes:
-    """64 bits: which low-frequency coefficients (the mean left out) exceed their median."""
+    """64 bits: which of the square of low-frequency coefficients exceed the median of all but the mean; the mean's bit is 0."""
     small = _shrink(_shrink(pixels.astype(float), _SIDE).T, _SIDE).T
-    low = (_cosines() @ small @ _cosines().T).ravel()[1 : 1 + 64]
-    return np.packbits(np.round(low, 6) > np.round(np.median(low), 6)).tobytes()
+    low = np.round((_cosines() @ small @ _cosines().T).ravel(), 6)
+    bits = low > np.median(low[1:])
+    bits[0] = False
+    return np.packbits(bits).tobytes()
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,31 +181,34 @@ def store(docs: DataFrame) -> DataFrame:
 _FEATURES = [("payload", pa.binary()), ("feature", pa.binary()), ("error", pa.string())]
 
 
+_DIGESTS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
+
+def _read_one(png: bytes) -> tuple[bytes | None, bytes | None, str | None]:
+    """Payload, feature and error of one stored image."""
+    try:
+        pixels = decode_png(png)
+        return pixels.tobytes(), cosine_hash(pixels), None
+    except (ValueError, zlib.error, struct.error) as broken:
+        return None, None, str(broken)
+
+
+def _digest_one(png: bytes) -> tuple:
+    payload, feature, _ = _read_one(png)
+    own = (len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:])) if payload is not None else (None, None, None)
+    return *own, len(png), sha256(png).hexdigest(), None if feature is None else feature.hex()
+
+
 def _read(digests: bool):
+    kinds, one = (_DIGESTS, _digest_one) if digests else (_FEATURES, _read_one)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, features, errors = [], [], []
             media = batch.column("media")
-            for i in range(batch.num_rows):
-                try:
-                    pixels = decode_png(media[i].as_py() or b"")
-                    payload, feature, error = pixels.tobytes(), cosine_hash(pixels), None
-                except (ValueError, zlib.error, struct.error) as broken:
-                    payload = feature = None
-                    error = str(broken)
-                payloads.append(payload), features.append(feature), errors.append(error)
-            rest = [c for c in batch.schema.names if c != "media" or not digests]
-            arrays, names = [batch.column(c) for c in rest], list(rest)
-            if digests:
-                shas = lambda xs: pa.array([None if x is None else sha256(x).hexdigest() for x in xs], pa.string())
-                stored = [media[i].as_py() or b"" for i in range(batch.num_rows)]
-                more = {"payload_bytes": pa.array([None if x is None else len(x) for x in payloads], pa.int64()), "payload_sha256": shas(payloads), "tail_crc32": pa.array([None if x is None else zlib.crc32(x[-32:]) for x in payloads], pa.int64()), "media_bytes": pa.array([len(x) for x in stored], pa.int64()), "media_sha256": shas(stored), "feature": pa.array([None if x is None else x.hex() for x in features], pa.string())}
-                arrays += more.values()
-                names += more
-            else:
-                arrays += [pa.array(x, kind) for x, (_, kind) in zip((payloads, features, errors), _FEATURES)]
-                names += [n for n, _ in _FEATURES]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            rows = [one(media[i].as_py() or b"") for i in range(batch.num_rows)]
+            kept = [c for c in batch.schema.names if c != "media" or not digests]
+            arrays = [batch.column(c) for c in kept] + [pa.array([row[k] for row in rows], kind) for k, (_, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[name for name, _ in kinds]])
 
     return run
 
