@@ -32,6 +32,24 @@ def test_learns_and_predicts_whole_texts(spark):
     assert kept.schema == docs.schema and kept.count() == 242
 
 
+def test_noise_is_rejected_and_languages_stay(spark):
+    texts, langs = sample(300, 4)
+    odd = ["der die und nicht 4845168114407329 auf für ein ist", "THE OF AND TO IN THAT!! WITH FROM THE", "the of and 10.0.0.1 to in that"]
+    junk = [b.decode(errors="ignore") for b in langid.noise(60, 77, "".join(texts))] + ["съешь же ещё этих мягких французских булок да выпей чаю " * 3, "a9F/" * 60, "{" * 100 + "x", None, "", "42"]
+    docs = frame(spark, texts + odd + junk, langs=langs + [None] * (len(odd) + len(junk)))
+    kept = {r.doc_id for r in langid.keep_known(docs, langid.fit_rejecting(docs)).collect()}
+    assert kept >= set(range(303)) and len(kept) <= 303 + 3
+
+
+def test_rare_languages_are_learned(spark):
+    texts, langs = sample(200, 6)
+    rare = [" ".join(["kaj", "estas", "la", "ĉiuj", "homoj", "denaske"][i % 6 :] * 9) for i in range(12)]
+    docs = frame(spark, texts + rare, langs=langs + ["eo"] * 12)
+    net = langid.fit(docs, sample_rows=40)
+    assert "eo" in net.languages
+    assert [r.lang_pred for r in langid.predict(frame(spark, rare), net).collect()].count("eo") >= 10
+
+
 def test_only_the_text_counts(spark):
     texts, langs = sample(60, 2)
     net = langid.fit(frame(spark, texts, langs=langs))
@@ -50,6 +68,15 @@ def test_pairs_of_bytes_give_the_same_network():
     assert np.allclose(slow, net.paired().probabilities(x), atol=1e-5)
 
 
+def test_plain_convolution_gives_the_same():
+    texts, langs = sample(20, 5)
+    net = langid.train([t.encode() for t in texts], langs, epochs=1)
+    x, _ = langid.windows(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0].encode())]))
+    for row in x:
+        hidden = [max(sum(table[j][row[at + j]][f] for j in range(width)) for at in range(langid.WINDOW - width + 1)) for width, table in net.tables.items() for f in range(langid.FILTERS)]
+        assert np.allclose(net.probabilities(np.array([hidden])), net.paired().probabilities(row[None]), atol=1e-5)
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, ["some text", None], langs=[None, None])
     assert langid.fit(docs) is None

@@ -4,9 +4,16 @@ Filters of several widths slide over fixed-length windows of a text's UTF-8 byte
 each filter's greatest response goes through a bias and a ramp to a softmax over
 the learned languages.  Bytes enter one-hot, so a filter is a table of 256 weights
 for each of its places and a convolution is a sum of look-ups.  The network is
-trained in numpy on the driver from a bounded sample of labelled texts (at most
-SAMPLE_ROWS, chosen by a hash of doc_id, with windows from places spread over the
-whole text) and applied to every window of every whole text.
+trained in numpy on the driver from a bounded sample of labelled texts (SAMPLE_ROWS
+in proportion to the languages, and LEAST_ROWS of a rarer one, for MOST_LANGUAGES
+at most; chosen by a hash of doc_id, with windows from places spread over the whole
+text) and applied to every window of every whole text.
+
+To reject, a network also learns a class of its own from noise (bytes, digits,
+encoded data, scripts that no labelled text uses); labelled windows with numbers
+and capitals written over parts of them keep their language.  A document goes if
+its mean chance of noise passes a threshold, set between what labelled texts held
+back from training reach and what noise held back does.
 
 Nulls and ties: a null text, or one without a letter, gets "und" and score 0.
 Rows without lang or doc_id are never learned from.  Equal probabilities go to the
@@ -16,13 +23,13 @@ only the text; columns besides doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
-import re
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellumix.llm.tokens import text_buffers, doc_groups
 from vellumix.session import ship
@@ -31,9 +38,11 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 3
+LEAST_ROWS, MOST_LANGUAGES = 100, 1000
 UND = "und"
 _BLOCK = 256
-_ASCII_LETTER = re.compile("[A-Za-z]")
+#: First and last letters of scripts that noise is drawn from if no labelled text uses them.
+SCRIPTS = ((0x0391, 0x03C9), (0x0410, 0x044F), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
 @dataclass
@@ -43,6 +52,7 @@ class ByteNet:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    most_noise: float = 1.0
 
     def responses(self, x: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """Greatest response of each filter in each window, and where it is."""
@@ -160,47 +170,138 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
-    """A network learned from at most sample_rows labelled rows; None if there are none."""
-    labelled = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0")
-    total = labelled.select("doc_id").count()
+def _sampled(docs: DataFrame, sample_rows: int) -> list:
+    """Rows (lang, cuts) of the bounded sample, in a fixed order."""
+    labelled = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and length(text) > 0")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    total = sum(r["count"] for r in counts)
     if not total:
-        return None
+        return []
+    quota = {r["lang"]: max(LEAST_ROWS, -(-sample_rows * r["count"] // total)) for r in counts}
+    share = {r["lang"]: min(1.0, (1.5 * quota[r["lang"]] + 100) / r["count"]) for r in counts}
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), F.col("lang"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = min(1.0, 1.5 * sample_rows / total + 100 / total)
     n = F.length("text")
     span = F.lit(WINDOW)
     cuts = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(n - span, F.lit(0)) + 1) + 1).cast("int"), span) for i in range(SAMPLE_WINDOWS)]
-    sample = labelled.where(h < F.lit(int(share * 1_000_000) + 1)).select("lang", F.array(*cuts).alias("cuts"), h.alias("h"), "doc_id")
-    rows = sample.orderBy("h", "doc_id", "lang", F.xxhash64("cuts")).limit(sample_rows).select("lang", "cuts").collect()
-    texts = [c.encode() for row in rows for c in row.cuts]
-    return train(texts, [row.lang for row in rows for _ in row.cuts])
+    near = labelled.where(h < of({k: int(v * 1_000_000) + 1 for k, v in share.items()}))
+    sample = near.select("lang", F.array(*cuts).alias("cuts"), h.alias("h"), "doc_id").withColumn("t", F.xxhash64("cuts"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))
+    return sample.withColumn("place", place).where(F.col("place") <= of(quota)).orderBy("h", "doc_id", "lang", "t").select("lang", "cuts").collect()
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
+    """A network learned from a bounded sample of the labelled rows; None if there are none."""
+    rows = _sampled(docs, sample_rows)
+    if not rows:
+        return None
+    return train([c.encode() for row in rows for c in row.cuts], [row.lang for row in rows for _ in row.cuts])
+
+
+def noise(n: int, seed: int, used: str) -> list[bytes]:
+    """Windows of no language: bytes, digits, encoded data, marks, scripts without a character in `used`."""
+    r = random.Random(seed)
+    present = set(used)
+    free = [(lo, hi) for lo, hi in SCRIPTS if not any(lo <= ord(c) <= hi for c in present)]
+
+    def one() -> bytes:
+        kind = r.randrange(6 if free else 5)
+        if kind == 0:
+            return bytes(r.randrange(33, 127) for _ in range(WINDOW))
+        if kind == 1:
+            return " ".join("".join(r.choice("0123456789.,:-") for _ in range(r.randint(1, 12))) for _ in range(30)).encode()
+        if kind == 2:
+            return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(WINDOW)).encode()
+        if kind == 3:
+            return "".join(r.choice("0123456789abcdef") for _ in range(WINDOW)).encode()
+        if kind == 4:
+            return "".join(r.choice("=-_*#|<>{}[]()/\\;&%$ ") for _ in range(WINDOW)).encode()
+        lo, hi = r.choice(free)
+        return " ".join("".join(chr(r.randint(lo, hi)) for _ in range(r.randint(2, 8))) for _ in range(30)).encode()
+
+    return [one()[:WINDOW] for _ in range(n)]
+
+
+def _written_over(text: bytes, r: random.Random) -> bytes:
+    """A window with a number or code over up to a third of it, or in capitals."""
+    shown = text.decode("utf-8", "replace")
+    if r.random() < 0.3:
+        return shown.upper().encode()
+    size = r.randint(4, max(5, len(shown) // 3))
+    code = "".join(r.choice(r.choice(["0123456789", "0123456789abcdef", "0123456789 .-"])) for _ in range(size))
+    at = r.randint(0, max(0, len(shown) - size))
+    return (shown[:at] + code + shown[at + size :]).encode()[: 2 * WINDOW]
+
+
+def fit_rejecting(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
+    """A network that also knows noise, and the chance of noise from which a document is rejected.
+
+    A fifth of the sampled documents is held back, as they are and with numbers and
+    capitals written over them.  The threshold is halfway, in log odds, between the
+    greatest chance of noise among these and the middle one of noise held back.
+    """
+    rows = _sampled(docs, sample_rows)
+    if not rows:
+        return None
+    r = random.Random(8)
+    back = [i % 5 == 4 for i in range(len(rows))]
+    texts, labels = [], []
+    for row, held in zip(rows, back):
+        if not held:
+            for cut in row.cuts:
+                one = cut.encode()
+                texts += [one, _written_over(one, r)]
+                labels += [row.lang] * 2
+    used = "".join(c for row in rows for c in row.cuts)
+    junk = noise(max(30, len(texts) // 10), 3, used)
+    net = train(texts + junk, labels + [UND] * len(junk))
+    place = net.languages.index(UND)
+
+    def chances(groups: list[list[bytes]]) -> np.ndarray:
+        flat = [t for g in groups for t in g]
+        x, owner = windows(np.frombuffer(b"".join(flat), np.uint8), np.cumsum([0] + [len(t) for t in flat]))
+        document = np.repeat(np.arange(len(groups)), [len(g) for g in groups])[owner]
+        return np.bincount(document, net.paired().probabilities(x)[:, place]) / np.bincount(document)
+
+    real = [[c.encode() for c in row.cuts] for row, held in zip(rows, back) if held] or [[t] for t in texts]
+    real += [[_written_over(t, r) for t in g] for g in real]
+    odds = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6)) - np.log1p(-np.clip(p, 1e-6, 1 - 1e-6))
+    middle = (odds(chances(real).max()) + odds(np.median(chances([[t] for t in noise(200, 4, used)])))) / 2
+    net.most_noise = float(1 / (1 + np.exp(-middle)))
+    return net
+
+
+def _means(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have a window, and the mean probabilities of each such text's windows."""
+    rows, means = [np.zeros(0, np.intp)], [np.zeros((0, len(net.languages) if net else 0))]
+    if net is not None:
+        fast = net.paired()
+        data, offsets = text_buffers(texts)
+        for lo, hi in doc_groups(offsets):
+            x, owner = windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            if len(x):
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                rows.append(lo + owner[first])
+                means.append(np.add.reduceat(fast.probabilities(x), first, axis=0) / np.bincount(owner)[owner[first], None])
+    return np.concatenate(rows), np.concatenate(means)
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text))
+def lettered(text: str = "text") -> Column:
+    """Whether a text has a letter; false for null."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
 def _predict(net: ByteNet | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast = net.paired() if net else None
         for batch in batches:
-            texts = batch.column("text")
-            lettered = np.array([has_letter(t.as_py()) for t in texts], bool)
+            known = batch.column("lettered").to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            if fast is not None:
-                data, offsets = text_buffers(texts)
-                for lo, hi in doc_groups(offsets):
-                    x, owner = windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    if not len(x):
-                        continue
-                    p = fast.probabilities(x)
-                    first = np.flatnonzero(np.diff(owner, prepend=-1))
-                    mean = np.add.reduceat(p, first, axis=0) / np.bincount(owner)[owner[first], None]
-                    best[lo + owner[first]], score[lo + owner[first]] = mean.argmax(1), mean.max(1)
-            names = [net.languages[b] if ok and b >= 0 else UND for b, ok in zip(best, lettered)]
-            score[~lettered | (best < 0)] = 0
-            columns = [c for c in batch.schema.names if c != "text"]
+            rows, means = _means(net, batch.column("text"))
+            if len(rows):
+                best[rows], score[rows] = means.argmax(1), means.max(1)
+            names = [net.languages[b] if ok and b >= 0 else UND for b, ok in zip(best, known)]
+            score[~known | (best < 0)] = 0
+            columns = [c for c in batch.schema.names if c not in ("text", "lettered")]
             arrays = [batch.column(c) for c in columns] + [pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
 
@@ -211,20 +312,20 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score, a row for each row of docs."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.select("doc_id", held_out().alias("held_out"), "text")
+    chosen = docs.select("doc_id", held_out().alias("held_out"), "text", lettered().alias("lettered"))
     return chosen.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: ByteNet | None, least_score: float = 0.3) -> DataFrame:
-    """Rows of docs, unchanged, whose language is known with at least least_score."""
+def keep_known(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """Rows of docs, unchanged, that have a letter and whose chance of noise is not over the network's threshold."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _predict(net)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])
-            for judged in judge(iter([texts])):
-                sure = [p != UND and s >= least_score for p, s in zip(judged.column("lang_pred").to_pylist(), judged.column("score").to_pylist())]
-                yield batch.filter(pa.array(sure, pa.bool_()))
+            sure = np.zeros(batch.num_rows, bool)
+            rows, means = _means(net, batch.column("text"))
+            if len(rows):
+                sure[rows] = means[:, net.languages.index(UND)] <= net.most_noise if UND in net.languages else True
+            yield batch.filter(pa.array(sure))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(lettered()).mapInArrow(run, docs.schema)
