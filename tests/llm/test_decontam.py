@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter, defaultdict
+
 from tests.llm.helpers import frame, prose
 from vellumix.llm import decontam
 
@@ -42,6 +46,95 @@ def test_dense_slots_shuffled(spark, monkeypatch):
     test_dense_slots_and_short_items(spark)
 
 
+def test_one_question_with_other_numbers(spark):
+    items = [(1, "A train travels 120 km in 3 hours. What is its speed?"), (2, "Who wrote Faust?")]
+    texts = ["A train travels 90 km in 2 hours. What is its speed?", "so who wrote faust", "A train travels far. What is it?", prose(3, 80)]
+    assert found(spark, texts, items) == {(0, 1), (1, 2)}
+
+
+def test_screen_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SCREEN_WINDOWS", 4)
+    test_dense_slots_and_short_items(spark)
+
+
+def parsed(text):
+    """(word in lower case, kind) of each word."""
+    out, before = [], False
+    for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""):
+        number = any(c.isdigit() for c in w)
+        kind = decontam.NUMBER if number else decontam.UNIT if before and w.lower() in decontam.UNITS else decontam.NAME if w[0].isupper() else decontam.LITERAL
+        out.append((w.lower(), kind))
+        before = number
+    return out
+
+
+def forms_of(item, width, need):
+    """(first, end, exact, places) of an item's windows."""
+    n, out, rest = len(item), [], []
+    literals = lambda a, b: sum(k == decontam.LITERAL for _, k in item[a:b])
+    for at in range(n - width + 1):
+        right = next((b for b in range(at + width, n + 1) if literals(at, b) >= need), None)
+        left = next((a for a in range(at, -1, -1) if literals(a, at + width) >= need), None)
+        if right is not None:
+            out.append((at, right, False, {at}))
+        elif left is not None:
+            out.append((left, at + width, False, {at}))
+        else:
+            rest.append(at)
+        if literals(at, at + width) < width:
+            out.append((at, at + width, True, {at}))
+    if rest and literals(0, n):
+        out.append((0, n, False, set(range(rest[0], rest[0] + len(rest)))))
+    if 0 < n < width:
+        out.append((0, n, True, {0}))
+        if need <= literals(0, n) < n:
+            out.append((0, n, False, {0}))
+    return out
+
+
+def brute(texts, items, width=5, coverage=0.5):
+    got = set()
+    for number, question in items:
+        item = parsed(question)
+        forms = forms_of(item, width, (width + 1) // 2)
+        for d, text in enumerate(texts):
+            doc, met, votes = parsed(text), [], defaultdict(Counter)
+            for a, b, exact, places in forms:
+                plain = exact or all(k == decontam.LITERAL for _, k in item[a:b])
+                want = [w if plain else (w if k == decontam.LITERAL else None, k) for w, k in item[a:b]]
+                for s in range(len(doc) - (b - a) + 1):
+                    run = doc[s : s + b - a]
+                    if [w if plain else (w if k == decontam.LITERAL else None, k) for w, k in run] == want:
+                        pairs = [] if plain else [(x, y) for (x, k), (y, _) in zip(item[a:b], run) if k != decontam.LITERAL]
+                        met.append((frozenset(places), pairs))
+                        for x, y in pairs:
+                            votes[x][y] += 1
+            # ties between values are avoided by these texts
+            chosen = {x: max(c, key=lambda y: (c[y], y == x)) for x, c in votes.items()}
+            covered = set().union(*[p for p, pairs in met if all(chosen[x] == y for x, y in pairs)])
+            total = max((max(p) + 1 for *_, p in forms), default=0)
+            if total and len(covered) >= coverage * total:
+                got.add((d, number))
+    return got
+
+
+def test_against_brute_force(spark):
+    r = random.Random(12)
+    names, units, plain = ["Anna", "Peter", "Maria", "Hugo"], ["km", "kg", "euros", "hours"], "buys sells in the of to and with for every house river road how many are left".split()
+
+    def value(kind):
+        return str(r.randint(2, 99)) if kind == "#" else r.choice(names) if kind == "@" else r.choice(units)
+
+    shapes = [[r.choice(plain) if r.random() < 0.55 else r.choice("#@") for _ in range(r.randint(2, 24))] for _ in range(14)]
+    fill = lambda shape: " ".join(value(x) if x in "#@" else x for x in shape)
+    items = [(i, fill(shape)) for i, shape in enumerate(shapes)]
+    texts = [f"{prose(i, 6)} {fill(shapes[i % 14])} {prose(i + 60, 5)}" for i in range(14)]
+    texts += [f"{prose(i, 4)} {items[i][1].upper() if i % 2 else items[i][1]}" for i in range(14)]
+    texts += [fill([r.choice(plain + ["#", "@"]) for _ in range(60)]) for _ in range(12)]
+    want = brute(texts, items)
+    assert found(spark, texts, items) == want and len(want) >= 14
+
+
 def test_slots_must_agree(spark):
     item = "Tom pays 5 and Tom gets 9 while the shop keeps the rest of what Tom paid there for good"
     same = item.replace("Tom", "Ben")

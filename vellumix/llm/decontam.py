@@ -11,9 +11,12 @@ literal word.  For each document and item that meet, the item's slot values must
 map to the document's consistently; windows against the majority don't count.  A
 document whose windows cover `coverage` of an item's windows is contaminated.
 
-The benchmark's windows are counted first: up to BROADCAST_WINDOWS of them are
-broadcast and also screen the documents' windows as those are made; beyond that,
-all windows are shuffled by hash.
+The hashes of the benchmark's windows, 8 bytes each, screen the documents' windows
+as those are made, SCREEN_WINDOWS at a time: a larger benchmark costs a further
+pass over the documents for each such part.  So only windows that meet are joined:
+with a broadcast of the benchmark's windows if there are BROADCAST_WINDOWS at most
+(counted first), else by shuffle.  Equal windows of a document are sent once, with
+their number.
 
 Documents are also read at the widths of those items that are one window, a pass
 for each such width.
@@ -39,7 +42,7 @@ from vellumix.llm.tokens import NOT_ALNUM, doc_groups, hash_words, inside, prefi
 from vellumix.session import ship
 
 WIDTH, COVERAGE = 5, 0.5
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS, SCREEN_WINDOWS = 1_000_000, 8_000_000
 LITERAL, NUMBER, UNIT, NAME = range(4)
 #: Words that measure when they follow a number.
 UNITS = "mm cm m km in ft mile miles yard yards inch inches foot feet meter meters metre metres g kg mg lb lbs ounce ounces gram grams ton tons liter liters litre litres ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kph hz khz mhz ghz kb mb gb tb w kw v a j kj cal".split()
@@ -106,6 +109,15 @@ class _Runs:
             out[some] = run_hashes(sums, starts[some], ends[some])
         return out
 
+    def distinct(self, starts: np.ndarray, ends: np.ndarray, exact: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of each text's windows that are equal in every word, and how many there are."""
+        owner, plain = self.owner[starts], run_hashes(self.sums[0], starts, ends)
+        order = np.lexsort((plain, hashes, exact, owner))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (owner, exact, hashes, plain)], axis=0)
+        first = np.flatnonzero(new)
+        return order[first], np.diff(np.append(first, len(order)))
+
     def rightwards(self, starts: np.ndarray) -> np.ndarray:
         """Where windows from these words hold enough literals; -1 where the text ends before."""
         last = np.append(self.at, np.full(self.need, len(self.kinds)))[self.literal[starts] + self.need - 1]
@@ -180,7 +192,7 @@ _BATCH_WORDS = 200_000
 
 
 def _windows(width: int, key: list[str], known: np.ndarray | None = None, own: list[int] | None = None, longest: int = 0):
-    """Rows (key..., hash, place, literals, kinds) of windows; of documents if `own` widths are given, then only those in `known`, if given; of items with span and own besides.
+    """Rows (key..., hash, place, literals, kinds) of windows; of documents if `own` widths are given, then only those in `known`, with how many are equal; of items with span and own besides.
 
     Words of exact windows count as literals.
     """
@@ -205,6 +217,8 @@ def _windows(width: int, key: list[str], known: np.ndarray | None = None, own: l
                 if own is not None:  # windows widened both ways or of an item's width can be the same
                     _, at = np.unique((starts * (longest + 1) + ends - starts) * 2 + exact, return_index=True)
                     starts, ends, exact, hashes = starts[at], ends[at], exact[at], hashes[at]
+                    at, times = runs.distinct(starts, ends, exact, hashes)
+                    starts, ends, exact, hashes = starts[at], ends[at], exact[at], hashes[at]
                 total = np.concatenate([[0], np.cumsum(ends - starts)])
                 i = 0
                 while i < len(starts):
@@ -223,6 +237,9 @@ def _windows(width: int, key: list[str], known: np.ndarray | None = None, own: l
                     if more:
                         columns += [pa.array(more[1][some].astype(np.int32)), pa.array(more[2][some])]
                         names += ["span", "own"]
+                    else:
+                        columns.append(pa.array(times[some].astype(np.int32)))
+                        names.append("times")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     i = j
 
@@ -233,14 +250,14 @@ def _judge(coverage: float):
     """One document and one item: distinct windows of the item whose slots agree with the majority."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["item_place", "item_span", "item_literals", "item_kinds", "literals"]).to_pylist()
+        rows = table.select(["item_place", "item_span", "item_literals", "item_kinds", "literals", "times"]).to_pylist()
         votes: dict[int, Counter] = defaultdict(Counter)
         slots = []
         for row in rows:
             pairs = [(a, b) for a, b, k in zip(row["item_literals"], row["literals"], row["item_kinds"]) if k != LITERAL]
             slots.append(pairs)
             for a, b in pairs:
-                votes[a][b] += 1
+                votes[a][b] += row["times"]
         chosen = {a: max(c, key=lambda b: (c[b], b == a, b)) for a, c in votes.items()}
         agreed = {(row["item_place"], row["item_span"]) for row, pairs in zip(rows, slots) if all(chosen[a] == b for a, b in pairs)}
         covered = {place for at, span in agreed for place in range(at, at + span)}
@@ -266,10 +283,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     sizes = parts.groupBy("item").agg(F.max(F.col("item_place") + F.col("item_span")).alias("n_windows"))
     parts = scratch.put(parts.join(sizes, "item"), "sized")
     small = bounded(parts, BROADCAST_WINDOWS)
-    known = np.array(sorted({r.hash for r in parts.select("hash").distinct().collect()}), np.int64).view(np.uint64) if small else None
+    hashes = scratch.put(parts.select("hash").distinct(), "hashes")
+    rounds = max(1, -(-hashes.count() // SCREEN_WINDOWS))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = keyed.mapInArrow(_windows(width, ["doc_id", "text_hash"], known, lengths.own, lengths.longest or 0), f"doc_id {kind}, text_hash long, {shape}")
-    met = found.join(F.broadcast(parts) if small else parts, "hash").select("doc_id", "text_hash", "item", "n_windows", "item_place", "item_span", "item_literals", "item_kinds", "literals")
+    met = None
+    for i in range(rounds):
+        some = hashes.where(F.pmod("hash", F.lit(rounds)) == i).orderBy("hash").toArrow().column("hash")
+        known = np.concatenate([np.zeros(0, np.int64), *[c.to_numpy() for c in some.chunks]]).view(np.uint64)
+        found = keyed.mapInArrow(_windows(width, ["doc_id", "text_hash"], np.sort(known), lengths.own, lengths.longest or 0), f"doc_id {kind}, text_hash long, {shape}, times int")
+        found = found.join(F.broadcast(parts) if small else parts, "hash").select("doc_id", "text_hash", "item", "n_windows", "item_place", "item_span", "item_literals", "item_kinds", "literals", "times")
+        if rounds > 1:
+            found = scratch.put(found, "met")
+        met = found if met is None else met.union(found)
     judged = met.groupBy("doc_id", "text_hash", "item").applyInArrow(_judge(coverage), f"doc_id {kind}, text_hash long, item long, coverage double")
     return scratch.put(judged, "judged")
 

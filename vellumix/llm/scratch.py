@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a local one, but on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="vellumix-checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables of one call; drop() removes those that no result still reads."""
+    """Intermediate tables of one call; drop() removes those that no result still reads, the session's end the others."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/vellumix-{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
