@@ -1,6 +1,7 @@
 """From raw documents to a training mix: five stages, each written as Parquet and read again.
 
-Language identification rejects documents of no known language; line dedup cuts
+Language identification rejects documents without a letter and those whose bytes
+look like noise to a network that learned it beside the languages; line dedup cuts
 each source's boilerplate lines; near-dedup keeps one document of each group of
 five-word-shingle similarity 0.8 or more; decontamination drops documents that
 give benchmark items away; mixing assigns what is left to training positions.
@@ -20,7 +21,7 @@ _BROADCAST_IDS = 1_000_000
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs, langid.fit(docs))
+    return langid.keep_known(docs, langid.fit_rejecting(docs))
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if bounded(removed, _BROADCAST_IDS):
         removed = F.broadcast(removed)
     left = docs.join(removed, docs["doc_id"] == removed["__vx_doc"], "left_anti")
-    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates()
+    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__vx_doc"))
+    if repeated.isEmpty():
+        return left
+    if bounded(repeated, _BROADCAST_IDS):
+        repeated = F.broadcast(repeated)
+    same = left["doc_id"] == repeated["__vx_doc"]
+    return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
