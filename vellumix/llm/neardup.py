@@ -34,7 +34,9 @@ from vellumix.session import ship
 
 BANDS, ROWS = 20, 3
 #: Members, and shingles on average, of a block; a task holds two blocks.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Rows of whole texts or sets that a task holds at once.
+BATCH_ROWS = 256
 #: A sketch of 60 registers errs by less than 0.05 in one of three cases; eight times that is kept for the exact test.
 SLACK = 0.4
 _CELLS = 1 << 22
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    signed = scratch.put(signatures(docs, width), "signed")
+    signed = scratch.put(signatures(docs, width), "signed", BATCH_ROWS)
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.put(classes, "classes")
     buckets, members = _buckets(classes, scratch)
@@ -211,9 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     wanted = scratch.put(wanted.join(classes.select("digest", "place"), "digest"), "wanted")
     few = F.broadcast(wanted) if bounded(wanted, BROADCAST_ROWS) else wanted
     sets = placed(docs).join(few, "place").select("digest", "text").mapInArrow(_true_sets(width), "digest binary, shingles binary")
-    sets = scratch.put(sets, "sets")
+    sets = scratch.put(sets, "sets", BATCH_ROWS)
     edges = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b")), "b")
-    edges = scratch.put(edges.mapInArrow(_confirm(num, den), "a binary, b binary"), "confirmed")
+    edges = scratch.put(edges.mapInArrow(_confirm(num, den), "a binary, b binary"), "confirmed", BATCH_ROWS)
     labels = near_labels(edges, scratch)
     rest = _unsettled(labels, members, sets, num, den, scratch)
     found = _joined_up(edges.union(rest), labels, scratch)
@@ -275,6 +277,6 @@ def _unsettled(found: DataFrame, members: DataFrame, sets: DataFrame, num: int,
     open_ = scratch.put(open_, "open")
     tasks = open_.join(sets, "digest").select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "label", "digest", "shingles")
     links = tasks.groupBy("band", "key", "i", "j").applyInArrow(_blocks(num, den), "a binary, b binary")
-    links = scratch.put(links.distinct(), "links")
+    links = scratch.put(links.distinct(), "links", BATCH_ROWS)
     scratch.drop(labels, split, open_)
     return links

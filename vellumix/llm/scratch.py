@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset, a local one, but on a cluster an error."""
@@ -19,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    before = spark.conf.get(_BATCH)
+    if rows is not None:
+        spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Scratch:
     """Intermediate tables of one call; drop() removes those that no result still reads, the session's end the others."""
 
@@ -29,10 +44,12 @@ class Scratch:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """df, written and reread; batch_rows bounds the rows that Python code in it gets at once."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        with _batches_of(self.spark, batch_rows):
+            df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._vellumix_path = path
         return table
