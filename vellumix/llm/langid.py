@@ -271,11 +271,10 @@ def fit_rejecting(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet |
     return net
 
 
-def _means(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _means(fast: PairedNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which texts have a window, and the mean probabilities of each such text's windows."""
-    rows, means = [np.zeros(0, np.intp)], [np.zeros((0, len(net.languages) if net else 0))]
-    if net is not None:
-        fast = net.paired()
+    rows, means = [np.zeros(0, np.intp)], [np.zeros((0, len(fast.net.languages) if fast else 0))]
+    if fast is not None:
         data, offsets = text_buffers(texts)
         for lo, hi in doc_groups(offsets):
             x, owner = windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -293,10 +292,11 @@ def lettered(text: str = "text") -> Column:
 
 def _predict(net: ByteNet | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fast = net.paired() if net else None
         for batch in batches:
             known = batch.column("lettered").to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            rows, means = _means(net, batch.column("text"))
+            rows, means = _means(fast, batch.column("text"))
             if len(rows):
                 best[rows], score[rows] = means.argmax(1), means.max(1)
             names = [net.languages[b] if ok and b >= 0 else UND for b, ok in zip(best, known)]
@@ -321,9 +321,10 @@ def keep_known(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fast = net.paired() if net else None
         for batch in batches:
             sure = np.zeros(batch.num_rows, bool)
-            rows, means = _means(net, batch.column("text"))
+            rows, means = _means(fast, batch.column("text"))
             if len(rows):
                 sure[rows] = means[:, net.languages.index(UND)] <= net.most_noise if UND in net.languages else True
             yield batch.filter(pa.array(sure))

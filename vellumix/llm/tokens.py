@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE, _OTHER_BASE = _U(0xD1342543DE82EF95), _U(0xC6A4A7935BD1E995)
