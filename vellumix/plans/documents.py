@@ -35,10 +35,10 @@ def doc_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", t.truncate(t.squeeze(F.col("text"))).alias("excerpt"))
 
 
-@query("SELECT doc_id, left(text, 50000) AS body, length(text) > 50000 AS truncated FROM documents WHERE length(text) > 5000")
+@query("SELECT doc_id, left(text, 50000) AS body, length(text) > 50000 AS truncated FROM documents")
 def doc_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     body, cut = t.clipped(F.col("text"), 50_000)
-    return _docs(spark, sf_dir).where(F.length("text") > 5000).select("doc_id", body.alias("body"), cut.alias("truncated"))
+    return _docs(spark, sf_dir).select("doc_id", body.alias("body"), cut.alias("truncated"))
 
 
 @query(f"SELECT doc_id, {Sql.folder('text')} AS name FROM documents")
