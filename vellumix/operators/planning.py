@@ -113,18 +113,23 @@ def loss_report(losses: DataFrame) -> DataFrame:
     """kind, total and details: the eight commonest clipped details, most first, with a mark if there are more."""
     clip = F.substring(squeeze(F.col("detail")), 1, DETAIL_LENGTH)
     counted = losses.select("kind", clip.alias("detail")).groupBy("kind", "detail").agg(F.count("*").alias("n"))
-    per = counted.groupBy("kind").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.when(F.col("detail") != "", F.struct((-F.col("n")).alias("m"), "detail")))).alias("all"))
-    one = lambda d: F.concat(d["detail"], F.when(d["m"] < -1, F.concat(F.lit("×"), (-d["m"]).cast("string"))).otherwise(""))
+    per = counted.groupBy("kind").agg(F.sum("n").alias("total")).withColumnRenamed("kind", "k")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "detail"))
+    # one more than is shown tells whether there are more; Spark cuts each partition to these before the shuffle
+    top = counted.where("detail <> ''").withColumn("place", place).where(F.col("place") <= DETAILS + 1)
+    lists = top.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("place", "n", "detail"))).alias("all"))
+    one = lambda d: F.concat(d["detail"], F.when(d["n"] > 1, F.concat(F.lit("×"), d["n"].cast("string"))).otherwise(""))
     details = F.concat(F.array_join(F.transform(F.slice("all", 1, DETAILS), one), ", "), F.when(F.size("all") > DETAILS, F.lit(" …")).otherwise(""))
-    return per.select("kind", "total", details.alias("details"))
+    return per.join(lists, per["k"].eqNullSafe(lists["kind"]), "left").select(F.col("k").alias("kind"), "total", F.coalesce(details, F.lit("")).alias("details"))
 
 
 def capped(lines: DataFrame, key: str, order: str, line: str, most: int = REPORT_LINES) -> DataFrame:
     """Lines, each text once in its first place, cut to most with the last line counting the rest."""
     first = lines.groupBy(key, line).agg(F.min(order).alias(order))
+    totals = first.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("total"))
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    total = F.count("*").over(Window.partitionBy(key))
-    ranked = first.withColumn("n", n.cast("long")).withColumn("total", total).where((F.col("n") < most) | (F.col("total") <= most) | (F.col("n") == most))
+    ranked = first.withColumn("n", n).where(F.col("n") <= most).withColumn("n", F.col("n").cast("long"))
+    ranked = ranked.join(totals, ranked[key].eqNullSafe(totals["k"]))
     over = (F.col("total") > most) & (F.col("n") == most)
     return ranked.select(key, "n", F.when(over, F.concat(F.lit("more: "), (F.col("total") - most + 1).cast("string"))).otherwise(F.col(line)).alias(line))
 

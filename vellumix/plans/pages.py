@@ -112,7 +112,7 @@ def page_name_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(0 AS INT) AS src, url, CASE WHEN NOT regexp_matches(url, '(?i)\\Ahttps?://') THEN 'scheme' ELSE 'ok' END AS status FROM u""")
 def page_url_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    texts = pages.select("page_id", F.concat(F.col("url"), F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("\r\n\n  ftp"), F.substring("url", 5, 9999), F.lit("\n"))).otherwise(F.lit("\n\n"))).alias("text"))
+    texts = pages.select("page_id", F.concat(F.col("url"), F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("\r\n\n  ftp"), F.expr("substring(url, 5)"), F.lit("\n"))).otherwise(F.lit("\n\n"))).alias("text"))
     return planning.url_lines(texts, "page_id", "text").select(F.lit(0).alias("src"), "url", "status")
 
 
