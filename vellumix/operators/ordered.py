@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vellumix.functions.text import WS, squeeze, text_of
 
 #: Patterns for numbers, labels and captions of patent texts and articles.
-PARAGRAPH_NUMBER = rf"\A[{WS}]*[\[\x{{FF3B}}][{WS}]*([0-9]{{1,6}})[{WS}]*[\]\x{{FF3D}}][{WS}]*"
-CLAIM_START = rf"\A[{WS}]*([0-9]+)[{WS}]*[.\x{{3001}}\x{{FF0E}}][{WS}]*"
-FIGURE_LABEL = rf"\A[{WS}]*\x{{56FE}}[{WS}]*([0-9]+)[{WS}]*\z"
-CAPTION = rf"(?i)\A(?:(?:\x{{56FE}}|\x{{9644}}\x{{56FE}}|Fig\.?|Figure)[{WS}]*[0-9\x{{4E00}}\x{{4E8C}}\x{{4E09}}\x{{56DB}}\x{{4E94}}\x{{516D}}\x{{4E03}}\x{{516B}}\x{{4E5D}}\x{{5341}}]+|\x{{56FE}}[{WS}]*[|\x{{FF5C}}:\x{{FF1A}}]|[\x{{25B2}}\x{{25B3}}\x{{2191}}])"
-FOOTNOTE = rf"\A(?:\x{{6CE8}}|\x{{6765}}\x{{6E90}}|\x{{56FE}}\x{{6E90}}|\x{{56FE}}\x{{7247}}\x{{6765}}\x{{6E90}}|\x{{8D44}}\x{{6599}}\x{{6765}}\x{{6E90}})[{WS}]*[:\x{{FF1A}}]"
+PARAGRAPH_NUMBER = rf"\A[{WS}]*[\[［][{WS}]*([0-9]{{1,6}})[{WS}]*[\]］][{WS}]*"
+CLAIM_START = rf"\A[{WS}]*([0-9]+)[{WS}]*[.、．][{WS}]*"
+FIGURE_LABEL = rf"\A[{WS}]*图[{WS}]*([0-9]+)[{WS}]*\z"
+CAPTION = rf"(?i)\A(?:(?:图|附图|Fig\.?|Figure)[{WS}]*[0-9一二三四五六七八九十]+|图[{WS}]*[|｜:：]|[▲△↑])"
+FOOTNOTE = rf"\A(?:注|来源|图源|图片来源|资料来源)[{WS}]*[:：]"
 CAPTION_LENGTH, CAPTION_CHAIN = 60, 3
 
 
