@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumix.plans import documents, library, pages, planning, rendering  # noqa: F401  (they register their queries)
+from vellumix.plans import blocks, documents, library, pages, planning, rendering  # noqa: F401  (they register their queries)
 from vellumix.plans.registry import QUERIES, SQL
 
 

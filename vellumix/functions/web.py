@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vellumix.functions.text import WS, extension, replaced, squeeze, strip_tags, text_of, trim_ws
+from vellumix.functions.text import WS, bound, extension, replaced, squeeze, strip_tags, text_of, trim_ws
 
 #: Fixed values.
 INPUT_TYPES = {".docx": "docx", ".xlsx": "xlsx", ".pptx": "pptx", ".pdf": "pdf", ".md": "md", ".markdown": "md", ".xml": "xml", ".zip": "zip"}
@@ -65,13 +65,58 @@ def _v4(text: Column) -> Column:
 
 def private_v4(address: Column | str) -> Column:
     """Whether an IPv4 address is in a private or reserved range; what is no address counts as private."""
-    value = _v4(text_of(address))
+    return F.coalesce(_reserved_v4(_v4(text_of(address))), F.lit(True))
+
+
+def _reserved_v4(value: Column) -> Column:
     hits = F.lit(False)
     for cidr in PRIVATE_V4:
         base, bits = cidr.split("/")
         start = sum(int(p) << (24 - 8 * i) for i, p in enumerate(base.split(".")))
         hits = hits | value.between(start, start + (1 << (32 - int(bits))) - 1)
-    return F.coalesce(hits, F.lit(True))
+    return hits
+
+
+def _v6(text: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers, or null; one with a dotted end has that end as two groups."""
+    return bound(F.regexp_replace(F.lower(text), r"(?<=[0-9a-f:.])%[0-9a-z.:-]+\z", ""), _groups)
+
+
+def _groups(text: Column) -> Column:
+    dotted = _v4(F.regexp_extract(text, r"\A.*:([0-9.]+)\z", 1))
+    low = F.concat(F.lower(F.hex(F.shiftright(dotted, 16))), F.lit(":"), F.lower(F.hex(dotted.bitwiseAND(0xFFFF))))
+    text = F.when(F.contains(text, F.lit(".")), F.concat(F.regexp_extract(text, r"\A(.*:)[0-9.]+\z", 1), low)).otherwise(text)
+    none = F.array().cast("array<string>")
+    groups = lambda half: F.when(half.isNull() | (half == ""), none).otherwise(F.split(half, ":"))
+
+    def filled(halves: Column) -> Column:
+        missing = F.lit(8) - F.size(groups(halves[0])) - F.size(groups(F.get(halves, F.lit(1))))
+        fits = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing > 0))
+        return F.when(fits, F.concat(groups(halves[0]), F.array_repeat(F.lit("0"), missing), groups(F.get(halves, F.lit(1)))))
+
+    numbers = lambda whole: F.when(F.forall(whole, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+    return bound(F.split(text, "::"), lambda halves: bound(filled(halves), numbers))
+
+
+def _reserved_v6(g: Column) -> Column:
+    """Unspecified, loopback, unique local and link local, or a private IPv4 address inside (mapped, compatible, 6to4, NAT64)."""
+    zeros = lambda first, count: F.forall(F.slice(g, first, count), lambda x: x == 0)
+    joined = lambda i: F.shiftleft(g[i], 16).bitwiseOR(g[i + 1])
+    inner = (
+        F.when(zeros(1, 5) & g[5].isin(0, 0xFFFF), joined(6)).when(g[0] == 0x2002, joined(1))
+        .when((g[0] == 0x64) & (g[1] == 0xFF9B) & zeros(3, 4), joined(6))
+    )
+    local = (zeros(1, 7) & g[7].isin(0, 1)) | (g[0].bitwiseAND(0xFE00) == 0xFC00) | (g[0].bitwiseAND(0xFFC0) == 0xFE80)
+    return local | F.coalesce(bound(inner, _reserved_v4), F.lit(False))
+
+
+def private_address(address: Column | str) -> Column:
+    """Whether an IPv4 or IPv6 address, bracketed or not, is private or reserved; what is no address counts as private."""
+    def judged(text: Column) -> Column:
+        v6 = bound(_v6(text), lambda g: F.when(g.isNotNull(), _reserved_v6(g)))
+        return F.coalesce(bound(_v4(text), _reserved_v4), v6, F.lit(True))
+
+    return bound(F.regexp_replace(text_of(address), r"\A\[|\]\z", ""), judged)
 
 
 def attribute(tag: Column, name: str) -> Column:

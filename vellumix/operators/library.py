@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellumix.functions.text import trim_ws
 from vellumix.session import ship
@@ -207,3 +207,28 @@ def migration_plan(records: DataFrame, root: str) -> DataFrame:
     stem = F.regexp_replace(F.regexp_replace("base", r"(?<=.)\.[A-Za-z0-9]{1,8}\z", ""), r"(?: \([0-9]+\))+\z", "")
     moves = planned.where("reason is null").withColumn("stem", stem).groupBy("dir", "stem").applyInPandas(settle, "id string, from_path string, to_path string, conflict boolean, reason string")
     return moves.union(skipped)
+
+
+def record_paths(path: Column, outputs: Column, extras: Column) -> Column:
+    """A record's path, its outputs and those extras that stay inside it, each once in its first place.
+
+    Extras are relative; one that climbs out (..) or starts at the root is not the record's.
+    """
+    inside = F.filter(F.coalesce(extras, F.array().cast("array<string>")), lambda e: (e != "") & ~e.startswith("/") & ~e.rlike(r"(?:\A|/)\.\.(?:/|\z)"))
+    own = F.transform(inside, lambda e: F.concat(F.regexp_replace(path, "/+\\z", ""), F.lit("/"), F.regexp_replace(e, r"\A(?:\./+)+", "")))
+    return F.array_distinct(F.filter(F.concat(F.array(path), F.coalesce(outputs, F.array().cast("array<string>")), own), lambda p: p.isNotNull() & (p != "")))
+
+
+def loaded(lines: DataFrame, schema: str, column: str = "value", version: int = 1) -> DataFrame:
+    """Records of an index of JSON lines, with issue: null for a good one, else why it is passed over.
+
+    Broken JSON, another version, and a record without id or output_path are issues; so is an id's second record.
+    """
+    parsed = F.from_json(F.col(column), f"version INT, {schema}, __vx_bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__vx_bad"})
+    rows = lines.select("ord", parsed.alias("r")).select("ord", "r.*")
+    blank = lambda c: F.coalesce(trim_ws(F.col(c)), F.lit("")) == ""
+    why = F.when(F.col("__vx_bad").isNotNull(), "not JSON").when(~F.col("version").eqNullSafe(F.lit(version)), "version").when(blank("id"), "no id").when(blank("output_path"), "no output path")
+    rows = rows.withColumn("issue", why)
+    alone = F.concat(F.lit("#"), F.col("ord").cast("string"))  # rows with an issue are no group
+    again = F.row_number().over(Window.partitionBy(F.col("issue").isNull(), F.when(F.col("issue").isNull(), F.col("id")).otherwise(alone)).orderBy("ord")) > 1
+    return rows.withColumn("issue", F.when(F.col("issue").isNull() & again, "repeated id").otherwise(F.col("issue"))).drop("__vx_bad", "version")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellumix.functions.text import WS, squeeze, text_of
+from vellumix.functions.text import WS, extension, squeeze, text_of
 
 #: Patterns for numbers, labels and captions of patent texts and articles.
 PARAGRAPH_NUMBER = rf"\A[{WS}]*[\[［][{WS}]*([0-9]{{1,6}})[{WS}]*[\]］][{WS}]*"
@@ -39,20 +39,17 @@ def ids_per_prefix(blocks: DataFrame, key: str, prefix: str, pos: str, width: in
 def number_paragraphs(blocks: DataFrame, key: str, pos: str, explicit: str, start: int = 1) -> DataFrame:
     """key, pos, value and jump per paragraph: explicit numbers ahead are adopted, those behind ignored, both flagged.
 
-    A true scan, folded over each document's ordered array.
+    A value's lead over its rank never falls, so it is the running maximum of the explicit numbers' leads.
     """
-    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(explicit).cast("long").alias("explicit")))).alias("rows"))
-    item = "struct<pos:bigint,value:bigint,jump:boolean>"
-    first = F.struct(F.lit(start).cast("long").alias("next"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        jump = F.coalesce((row["explicit"] > 0) & (row["explicit"] != acc["next"]), F.lit(False))
-        value = F.when(jump & (row["explicit"] > acc["next"]), row["explicit"]).otherwise(acc["next"])
-        made = F.struct(row["pos"].cast("long").alias("pos"), value.alias("value"), jump.alias("jump"))
-        return F.struct((value + 1).alias("next"), F.concat(acc["out"], F.array(made)).alias("out"))
-
-    folded = rows.select(key, F.explode(F.aggregate("rows", first, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select(key, F.col("r.pos").alias(pos), F.col("r.value").alias("value"), F.col("r.jump").alias("jump"))
+    order = Window.partitionBy(key).orderBy(pos, explicit)
+    rows = blocks.select(key, F.col(pos).cast("long").alias(pos), F.col(explicit).cast("long").alias(explicit))
+    rows = rows.withColumn("__vx_at", F.row_number().over(order).cast("long"))
+    own = F.when(F.col(explicit) > 0, F.col(explicit) - F.col("__vx_at"))
+    lead = F.greatest(F.max(own).over(Window.partitionBy(key).orderBy("__vx_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(start - 1).cast("long"))
+    rows = rows.withColumn("__vx_lead", lead)
+    expected = F.col("__vx_at") + F.coalesce(F.lag("__vx_lead").over(Window.partitionBy(key).orderBy("__vx_at")), F.lit(start - 1))
+    jump = F.coalesce((F.col(explicit) > 0) & (F.col(explicit) != expected), F.lit(False))
+    return rows.select(key, pos, (F.col("__vx_at") + F.col("__vx_lead")).alias("value"), jump.alias("jump"))
 
 
 def group_claims(blocks: DataFrame, key: str, pos: str, text: str) -> DataFrame:
@@ -102,33 +99,48 @@ def mark_captions(blocks: DataFrame, key: str, pos: str, kind: str, text: str) -
 
 
 def number_figures(blocks: DataFrame, key: str, pos: str, kind: str, text: str) -> DataFrame:
-    """key, pos, num and label of each image: a label before or right after names it, others count on.
+    """key, pos and num of each image: a label before or right after names it, others count on.
 
-    Folded over each document's ordered array, since a label that an image takes
-    is gone for the next one.
+    Only the gaps between images matter: an image without a label before it takes
+    the first one after it, and the last label left in a gap is the next image's.
+    A gap of none leaves the next image open, one of several names it, and one of
+    a single label passes on whether the image before was open.
     """
-    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("pos"), F.col(kind).alias("kind"), number_of(F.col(text), FIGURE_LABEL).alias("num")))).alias("rows"))
-    figure = "struct<pos:bigint,num:bigint>"
-    first = F.struct(F.array().cast(f"array<{figure}>").alias("out"), F.lit(None).cast("long").alias("pending"), F.lit(False).alias("open"))
-
-    def step(acc: Column, row: Column) -> Column:
-        is_image, is_label = row["kind"] == "image", (row["kind"] != "image") & row["num"].isNotNull()
-        added = F.concat(acc["out"], F.array(F.struct(row["pos"].alias("pos"), acc["pending"].alias("num"))))
-        last = F.element_at(acc["out"], -1)
-        named = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["pos"].alias("pos"), row["num"].alias("num"))))
-        binds = is_label & acc["open"]
-        out = F.when(is_image, added).when(binds, named).otherwise(acc["out"])
-        pending = F.when(is_image, F.lit(None).cast("long")).when(is_label & ~acc["open"], row["num"]).otherwise(acc["pending"])
-        still = F.when(is_image, acc["pending"].isNull()).when(binds, F.lit(False)).otherwise(acc["open"])
-        return F.struct(out.alias("out"), pending.alias("pending"), still.alias("open"))
-
-    def fill(acc: Column, f: Column) -> Column:
-        num = F.coalesce(f["num"], acc["next"])
-        return F.struct((num + 1).alias("next"), F.concat(acc["out"], F.array(F.struct(f["pos"].alias("pos"), num.alias("num")))).alias("out"))
-
-    found = rows.select(key, F.aggregate("rows", first, step, lambda acc: acc["out"]).alias("found"))
-    start = F.struct(F.lit(1).cast("long").alias("next"), F.array().cast(f"array<{figure}>").alias("out"))
-    return found.select(key, F.explode(F.aggregate("found", start, fill, lambda acc: acc["out"])).alias("f")).select(key, F.col("f.pos").alias(pos), F.col("f.num").alias("num"))
+    num = number_of(F.col(text), FIGURE_LABEL)
+    rows = blocks.select(key, F.col(pos).cast("long").alias(pos), (F.col(kind) == "image").alias("image"), num.alias("num")).where("image or (not image and num is not null)")
+    order = Window.partitionBy(key).orderBy(pos, F.desc("image"), "num")
+    rows = rows.withColumn("seq", F.count_if("image").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("at", F.struct(F.col(pos), "num"))
+    label = F.when(~F.col("image"), F.col("at"))
+    gaps = rows.groupBy(key, "seq").agg(
+        F.max(F.when(F.col("image"), F.col(pos))).alias(pos), F.count(label).alias("n"), F.min(label)["num"].alias("first"), F.max(label)["num"].alias("last"),
+    )
+    by_seq = Window.partitionBy(key).orderBy("seq")
+    before = F.coalesce(F.lag("n").over(by_seq), F.lit(0))
+    images = gaps.select("*", before.alias("before"), F.lag("last").over(by_seq).alias("pending")).where("seq > 0")
+    up_to = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = F.coalesce(F.last(F.when(F.col("before") == 0, True).when(F.col("before") > 1, False), ignorenulls=True).over(up_to), F.lit(False))
+    own = images.withColumn("own", F.when(open_, F.col("first")).otherwise(F.col("pending")))
+    base = F.last(F.when(F.col("own").isNotNull(), F.col("own") - F.col("seq")), ignorenulls=True).over(up_to)
+    return own.select(key, pos, (F.col("seq") + F.coalesce(base, F.lit(0))).alias("num"))
+
+
+def trailing_figures(blocks: DataFrame, key: str, pos: str, kind: str, text: str) -> DataFrame:
+    """Blocks with trailing: whether a block is in the longest end of images and bare figure labels that holds an image; ties go together."""
+    part = F.coalesce((F.col(kind) == "image") | ((F.col(kind) == "paragraph") & number_of(F.col(text), FIGURE_LABEL).isNotNull()), F.lit(False))
+    back = Window.partitionBy(key).orderBy(F.desc(pos)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = blocks.withColumn("__vx_part", F.bool_and(part).over(back))
+    image = F.bool_or(F.col("__vx_part") & F.coalesce(F.col(kind) == "image", F.lit(False))).over(Window.partitionBy(key))
+    return marked.withColumn("trailing", F.col("__vx_part") & image).drop("__vx_part")
+
+
+def book_files(uses: DataFrame, assets: DataFrame, book: str, pos: str, name: str) -> DataFrame:
+    """book, name, file of each asset that a book uses: the book's code and the rank of first use; unknown names are left out."""
+    known = assets.select(F.col(name).alias("__vx_name")).where("__vx_name <> ''").distinct()
+    first = uses.where(F.col(book).rlike(r"\A[0-9A-Za-z]+\z")).groupBy(book, name).agg(F.min(pos).alias("__vx_first"))
+    first = first.join(known, first[name] == known["__vx_name"], "left_semi")
+    seq = F.row_number().over(Window.partitionBy(book).orderBy("__vx_first", name)).cast("string")
+    ext = F.coalesce(F.nullif(extension(F.col(name)), F.lit("")), F.lit(".jpg"))
+    return first.select(book, name, F.concat(F.col(book), F.lit("_"), seq, ext).alias("file"))
 
 
 def fenced(lines: DataFrame, key: str, pos: str, line: str) -> DataFrame:

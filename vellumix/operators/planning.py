@@ -214,3 +214,28 @@ def emu_to_mm(emu: Column) -> Column:
 def px_to_mm(px: Column, dpi: Column) -> Column:
     """Whole millimetres, one at least."""
     return F.greatest(F.floor(px * 25.4 / dpi), F.lit(1)).cast("long")
+
+
+def warnings_in_order(*stages: Column) -> Column:
+    """The warnings of all stages one after the other; order and repeats stay."""
+    return F.concat(*[F.coalesce(s, F.array().cast("array<string>")) for s in stages])
+
+
+def parts_problem(parts: Column, allowed: tuple[str, ...] = tuple(BOOK_KEYS.values())) -> Column:
+    """Null for a list of parts that is not empty, repeats none and names allowed ones only; else what is wrong."""
+    return (
+        F.when(parts.isNull() | (F.size(parts) <= 0), "empty").when(F.size(F.array_distinct(parts)) != F.size(parts), "repeated")
+        .when(~F.coalesce(F.forall(parts, lambda p: p.isin(*allowed)), F.lit(False)), "unknown")
+    )
+
+
+def sized_images(images: DataFrame, layout: DataFrame, path: str = "source_path") -> DataFrame:
+    """images with display: the size that the layout gives their path, where it has one (the first of several, the least of ties)."""
+    first = layout.where(F.col("display").isNotNull()).groupBy(F.col(path).alias("__vx_path")).agg(F.min(F.struct("ord", "display"))["display"].alias("display"))
+    return images.join(first, images[path] == first["__vx_path"], "left").drop("__vx_path")
+
+
+def distinct_names(uses: DataFrame, key: str, pos: str, name: str) -> DataFrame:
+    """key and names: a document's names, each once, in the order of first use."""
+    first = uses.where(F.col(name) != "").groupBy(key, name).agg(F.min(pos).alias("at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", name))), lambda s: s[name]).alias("names"))
