@@ -19,7 +19,7 @@ FOOTNOTE = rf"\A(?:注|来源|图源|图片来源|资料来源)[{WS}]*[:：]"
 CAPTION_LENGTH, CAPTION_CHAIN = 60, 3
 
 
-def _running(key: str, pos: str):
+def _running(key: str, pos: str | list[str]):
     return Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
@@ -52,17 +52,17 @@ def number_paragraphs(blocks: DataFrame, key: str, pos: str, explicit: str, star
     return rows.select(key, pos, (F.col("__vx_at") + F.col("__vx_lead")).alias("value"), jump.alias("jump"))
 
 
-def group_claims(blocks: DataFrame, key: str, pos: str, text: str) -> DataFrame:
-    """claim_ord (0: preface) and claim_num: numbered paragraphs open a claim, others join the open one."""
+def group_claims(blocks: DataFrame, key: str, pos: str | list[str], text: str) -> DataFrame:
+    """claim_ord (0: preface) and claim_num: numbered paragraphs open a claim, others join the open one; pos may be several columns."""
     num = number_of(F.col(text), CLAIM_START)
     over = _running(key, pos)
     return blocks.withColumn("claim_ord", F.sum(F.when(num.isNotNull(), 1).otherwise(0)).over(over).cast("long")).withColumn("claim_num", F.last(num, ignorenulls=True).over(over))
 
 
 def claim_issues(claims: DataFrame, key: str, pos: str, text: str) -> DataFrame:
-    """One row per document whose claims are not numbered 1..n, with the numbers found."""
+    """One row per document whose claims are not numbered 1..n, with the numbers found in the order of pos, ties as grouped."""
     starts = claims.where(number_of(F.col(text), CLAIM_START).isNotNull())
-    found = F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", "claim_num"))), lambda s: s["claim_num"])
+    found = F.transform(F.array_sort(F.collect_list(F.struct(pos, "claim_ord", "claim_num"))), lambda s: s["claim_num"])
     return starts.groupBy(key).agg(F.count("*").alias("n_claims"), F.bool_and(F.col("claim_ord") == F.col("claim_num")).alias("ok"), found.alias("nums")).where(~F.col("ok")).select(key, "n_claims", F.array_join(F.transform("nums", lambda x: x.cast("string")), ",").alias("nums"))
 
 
