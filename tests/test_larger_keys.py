@@ -24,3 +24,9 @@ def test_claims_of_part_keys_over_100000(spark, tmp_path):
     lines = (1, 1, 200_000), (1, 2, 1), (1, 3, 2), (2, 1, 100_011), (2, 2, 5), (3, 1, 0), (3, 2, 300_001), (3, 2, 300_001)
     got = agree(spark, tmp_path, "claim_sequence", "lineitem", "l_orderkey long, l_linenumber int, l_partkey long", *lines)
     assert [r[0] for r in got] == [2, 3]
+
+
+def test_units_of_large_part_keys(spark, tmp_path):
+    lines = [(1, k, k * 1500) for k in range(1, 800)] + [(2, k, k) for k in (0, 11, 12, 1_199_999, 2_000_000_000, None)]
+    got = agree(spark, tmp_path, "unit_conversions", "lineitem", "l_orderkey long, l_linenumber int, l_partkey long", *lines)
+    assert len(got) == len(lines)

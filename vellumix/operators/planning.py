@@ -212,8 +212,8 @@ def emu_to_mm(emu: Column) -> Column:
 
 
 def px_to_mm(px: Column, dpi: Column) -> Column:
-    """Whole millimetres, one at least."""
-    return F.greatest(F.floor(px * 25.4 / dpi), F.lit(1)).cast("long")
+    """Whole millimetres, one at least; 25.4 is taken as 254 tenths, so that a whole quotient stays whole."""
+    return F.greatest(F.floor(px * F.lit(254.0) / (dpi * 10)), F.lit(1)).cast("long")
 
 
 def warnings_in_order(*stages: Column) -> Column:
