@@ -30,3 +30,10 @@ def test_units_of_large_part_keys(spark, tmp_path):
     lines = [(1, k, k * 1500) for k in range(1, 800)] + [(2, k, k) for k in (0, 11, 12, 1_199_999, 2_000_000_000, None)]
     got = agree(spark, tmp_path, "unit_conversions", "lineitem", "l_orderkey long, l_linenumber int, l_partkey long", *lines)
     assert len(got) == len(lines)
+
+
+def test_block_ids_of_every_letter(spark, tmp_path):
+    letters = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isalpha() or c < 0x3000)]
+    odd = (-1, "ßa\nSS\nẞ\nß\nﬁ x\nFI\n\nŉ"), (-2, None), (-3, "")
+    got = agree(spark, tmp_path, "doc_block_ids", "documents", "doc_id long, text string, source string, lang string", *((i, x, None, None) for i, x in [*odd, *enumerate(letters)]))
+    assert ("ẞ0003", -1, 3) in got and ("S0001", -1, 1) in got

@@ -135,7 +135,7 @@ def doc_section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LINES}, k AS (SELECT doc_id, line_no, upper(left(line, 1)) AS p FROM l WHERE line <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p ORDER BY line_no) AS r FROM k)
 SELECT doc_id, line_no, p || CASE WHEN r < 10000 THEN lpad(CAST(r AS VARCHAR), 4, '0') ELSE CAST(r AS VARCHAR) END AS block_id FROM n""")
 def doc_block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where("line <> ''").select("doc_id", "line_no", F.upper(F.substring("line", 1, 1)).alias("p"))
+    rows = lines(spark, sf_dir).where("line <> ''").select("doc_id", "line_no", t.capital(F.substring("line", 1, 1)).alias("p"))
     return ordered.ids_per_prefix(rows, "doc_id", "p", "line_no").select("doc_id", "line_no", "block_id")
 
 
