@@ -1,3 +1,4 @@
+import math
 import re
 
 from tests.llm.helpers import frame, prose
@@ -44,3 +45,11 @@ def test_order_of_notices_does_not_matter(spark):
     out = {r.doc_id: set(r.labels) for r in licenses.scan_licenses(frame(spark, texts)).collect()}
     both, other = {"cc-by", "cc-by-sa"}, {"cc-by", "cc-by-nc"}
     assert [out[i] for i in range(7)] == [both, both, other, other, both | other, {"cc-by-sa"}, {"cc-by-sa"}]
+
+
+def test_weights_count_every_row(spark):
+    text = "CASE WHEN id % 3 = 0 THEN 'Software software, x' WHEN id % 5 = 0 THEN concat('a LICENSE ', id) WHEN id % 7 > 0 THEN concat('w', id) END"
+    docs = spark.range(0, 30_000, 1, 7).selectExpr("id AS doc_id", f"{text} AS text")
+    weight = licenses.weights(docs)
+    named = lambda word: weight[int(licenses.words_of(word.encode())[0])]
+    assert [named("software"), named("license"), named("warranty")] == [math.log(30_002 / (n + 1)) for n in (10_000, 4_000, 0)]

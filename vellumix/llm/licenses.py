@@ -1,9 +1,8 @@
 """Licence scans with a positional index of rare words.
 
 Templates of licence notices are split into words; a word's weight is its inverse
-document frequency in a bounded sample of the corpus (at most SAMPLE_ROWS rows, by
-a hash of the text).  The index holds each template's RARE words of highest weight
-with their places.  A file's words among these are looked up; postings of one
+document frequency in the whole corpus, counted in a pass of its own.  The index
+holds each template's RARE words of highest weight with their places.  A file's words among these are looked up; postings of one
 template that agree on where it would begin support it there.  Where enough of a
 template's weight lines up, its mandatory key phrases must stand near that place;
 then the file carries its label.  All such places are tried, best first, so a
@@ -59,7 +58,7 @@ TEMPLATES = (
     ("reserved", "All rights reserved", ("all rights reserved",)),
 )
 SUPPORT, SLIP = 0.6, 3
-RARE, SAMPLE_ROWS = 16, 20_000
+RARE = 16
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -147,16 +146,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(vocabulary, np.uint64(0)).view(np.int64)), pa.array(np.append(seen, rows))], names=["word", "n"])
 
 
-def weights(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[int, float]:
-    """Inverse document frequencies of the templates' words in a sample of at most sample_rows rows."""
+def weights(docs: DataFrame) -> dict[int, float]:
+    """Inverse document frequencies of the templates' words in all rows."""
     ship(docs.sparkSession)
-    total = docs.count()
-    h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    share = min(1.0, (1.2 * sample_rows + 100) / max(total, 1))
-    sample = docs.select("text", h.alias("h")).where(F.col("h") < int(share * 1_000_000) + 1)
-    if total > sample_rows:
-        sample = sample.orderBy("h", F.xxhash64("text", F.lit(1))).limit(sample_rows)
-    counts = sample.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {int(np.int64(r.word).view(np.uint64)): r.n for r in counts}
     rows = n.pop(0, 0)
     return {word: math.log((rows + 2) / (count + 1)) for word, count in n.items()}
