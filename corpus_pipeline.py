@@ -18,10 +18,13 @@ from vellumix.llm.scratch import Scratch, bounded
 
 #: Removed ids up to this many (8 bytes each) are broadcast; more are joined by shuffle.
 _BROADCAST_IDS = 1_000_000
+#: Texts that a task of the language stage holds at once; it writes its rows itself, as only then this holds.
+_BATCH_ROWS = 512
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs, langid.fit_rejecting(docs))
+    known = langid.keep_known(docs, langid.fit_rejecting(docs))
+    return Scratch(spark, "pipeline").put(known, "known", _BATCH_ROWS)
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

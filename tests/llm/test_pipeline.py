@@ -32,3 +32,26 @@ def test_every_stage_decides(spark, tmp_path):
     assert counts["source_mixing"] == counts["decontamination"]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == counts["source_mixing"]
+
+
+def test_stages_hand_python_few_texts_at_once(spark, tmp_path, monkeypatch):
+    texts = [prose(i, 30) for i in range(1500)]
+    frame(spark, texts, langs=["en", "fr"] * 750).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, texts[i]) for i in range(600)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kind, plain = type(docs), type(docs).mapInArrow
+
+    def bounded(self, run, *more):
+        def checked(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.num_rows <= 512, batch.num_rows
+                    yield batch
+
+            return run(seen())
+
+        return plain(self, checked, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", bounded)
+    assert corpus_pipeline.identify_languages(spark, docs, str(tmp_path)).count() == 1500
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == 900

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellumix.llm.tokens import text_buffers, doc_groups
+from vellumix.llm.tokens import doc_groups, released, text_buffers
 from vellumix.session import ship
 
 WINDOW = 128
@@ -329,4 +329,4 @@ def keep_known(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 sure[rows] = means[:, net.languages.index(UND)] <= net.most_noise if UND in net.languages else True
             yield batch.filter(pa.array(sure))
 
-    return docs.where(lettered()).mapInArrow(run, docs.schema)
+    return docs.where(lettered()).mapInArrow(released(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from vellumix.llm import setsketch
 from vellumix.llm.components import components, near_labels
 from vellumix.llm.scratch import Scratch, bounded
-from vellumix.llm.tokens import shingle_sets
+from vellumix.llm.tokens import released, shingle_sets
 from vellumix.session import ship
 
 BANDS, ROWS = 20, 3
@@ -78,7 +78,7 @@ def _signatures(width: int):
             sketches += [None] * (len(sizes) - len(sketches))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "place", "n_shingles", "digest", "sketch"])
 
-    return run
+    return released(run)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _true_sets(width: int):
                     held[1].append(shingles.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in held], ["digest", "shingles"])
 
-    return run
+    return released(run)
 
 
 def _sets(column) -> list[np.ndarray]:

@@ -8,7 +8,8 @@ the largest document and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,19 @@ class _Powers:
 _bytes_powers, _word_powers, _other_powers = _Powers(_BASE), _Powers(_WORD_BASE), _Powers(_OTHER_BASE)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run; after its last batch, memory that its allocators keep goes back to the system, as Spark keeps idle workers."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls become empty texts."""
     if isinstance(column, pa.ChunkedArray):
